@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, chat, exact_dedup, kdtree, mixing, ngram_join, packing, token_files
+from . import attribution, chat, classifiers, exact_dedup, kdtree, mixing, ngram_join, packing, token_files
 from .common import table, vocabulary
 
 
@@ -15,6 +15,14 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifiers.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifiers.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_classes(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -46,6 +54,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_toxicity": op2_toxicity,
+    "op3_ordinal_quality": op3_ordinal_quality,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_token_attribution": op5_token_attribution,
     "op6_exact_dedup": op6_exact_dedup,

@@ -98,32 +98,36 @@ def utf8_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts, and the number in each text.
-
-    With ``lower``, A-Z count as a-z. ``data`` may begin before offsets[0]; the texts must adjoin.
-    """
+def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words of consecutive texts start and end in data[offsets[0]:offsets[-1]], and the number in each text."""
     data = data[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    n = len(offsets) - 1
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n, np.int64)
-    space = SPACE_BYTES[data]
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets) - 1, np.int64)
+    gap = space[data]
     first = np.empty(len(data), bool)
     first[0] = True
-    first[1:] = space[:-1]
+    first[1:] = gap[:-1]
     last = np.empty(len(data), bool)
     last[-1] = True
-    last[:-1] = space[1:]
+    last[:-1] = gap[1:]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     first[inner] = True
     last[inner - 1] = True
-    word = ~space
-    starts = np.flatnonzero(first & word)
-    ends = np.flatnonzero(last & word) + 1
-    hashes = run_hashes((_LOWER_CODE if lower else _BYTE_CODE)[data], starts, ends)
-    counts = np.diff(np.searchsorted(starts, offsets))
-    return hashes, counts
+    starts = np.flatnonzero(first & ~gap)
+    ends = np.flatnonzero(last & ~gap) + 1
+    return starts, ends, np.diff(np.searchsorted(starts, offsets))
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts, and the number in each text.
+
+    With ``lower``, A-Z count as a-z. ``data`` may begin before offsets[0]; the texts must adjoin.
+    """
+    starts, ends, counts = spans(data, offsets)
+    own = data[offsets[0] : offsets[-1]]
+    return run_hashes((_LOWER_CODE if lower else _BYTE_CODE)[own], starts, ends), counts
 
 
 # ---------------------------------------------------------------- tokens
