@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .textvec import _BYTE_CODE, _LOWER_CODE, SPACE_BYTES, mix, pieces, run_hashes, spans, utf8_buffers
 
@@ -190,21 +191,26 @@ def _sampled(rows: DataFrame, most: int, shapes: bool) -> tuple[list[bytes], lis
     return [bytes(r["codes"]) for r in got], [r["y"] for r in got]
 
 
-def _raw(docs: DataFrame, weights: np.ndarray, shapes: bool, doc_id: str, text: str) -> DataFrame:
-    """doc_id and the sum of the weights of the features that each whole text has."""
+def _raw(docs: DataFrame, weights: np.ndarray, shapes: bool, doc_id: str, text: str, carry: bool = False) -> DataFrame:
+    """doc_id and the sum z of the weights of the features that each whole text has; with ``carry``, all columns of docs and z."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS numbers, whatever the corpus
 
     def run(batches):
         w = shared.value
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for a, b, data, offsets in _parts(batch.column(1)):
+            for a, b, data, offsets in _parts(batch.column(batch.schema.get_field_index(text if carry else "text"))):
                 doc, code = _codes(data, offsets, shapes)
                 hit = w[code] != 0
                 both = np.unique(doc[hit] << BITS | code[hit])
                 out[a:b] = np.bincount(both >> BITS, w[both & ((1 << BITS) - 1)], minlength=b - a)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out)], names=["doc_id", "z"])
+            if carry:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "z"])
+            else:
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out)], names=["doc_id", "z"])
 
+    if carry:
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("z", DoubleType())]))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, z double")
 
 
@@ -229,17 +235,31 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most
     toxic rows to learn from, every score is 0; labels that are null don't count. Repeated rows give
     repeated results; null doc_ids aren't held out and have no label. Extra columns are not read.
     """
+    model = _toxicity_model(docs, labels, most_positive, most_unlabelled, doc_id, text)
+    if model is None:
+        return docs.select(F.col(doc_id).cast("long").alias("doc_id")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    score = 1 / (1 + F.exp(-(F.col("z") + F.lit(model[1]))))
+    return _raw(docs, model[0], False, doc_id, text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that toxicity() doesn't predict to be toxic. docs has no column z."""
+    model = _toxicity_model(docs, labels, most_positive, most_unlabelled, doc_id, text)
+    if model is None:
+        return docs
+    return _raw(docs, model[0], False, doc_id, text, carry=True).filter(F.col("z") + F.lit(model[1]) < 0).drop("z")
+
+
+def _toxicity_model(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, doc_id: str, text: str) -> tuple[np.ndarray, float] | None:
     known = _labelled(docs, labels, doc_id, text, F.col("toxic"))
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic:
-        return docs.select(F.col(doc_id).cast("long").alias("doc_id")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return None
     a, _ = _sampled(known.filter("y = 1"), most_positive, False)
     b, _ = _sampled(known, most_unlabelled, False)
     sample = Sample(a + b, [1] * len(a) + [0] * len(b))
     w, c = fit_nnpu(sample, min(0.95, max(0.001, toxic / total)))
-    raw = _raw(docs, sample.spread(w), False, doc_id, text)
-    score = 1 / (1 + F.exp(-(F.col("z") + F.lit(float(c)))))
-    return raw.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return sample.spread(w), float(c)
 
 
 def quality(docs: DataFrame, labels: DataFrame, grade: Column | None = None, grades: int = 3, keep_grade: int = 1, most: int = 12000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

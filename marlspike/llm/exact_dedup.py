@@ -181,6 +181,22 @@ def classes(docs: DataFrame, in_snapshot: Column | None = None, doc_id: str = "d
     return out.filter("not kept or alone").unionByName(once).drop("alone")
 
 
+def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stay by classes(). docs has no columns _sha and _id."""
+    found = written(classes(docs, doc_id=doc_id, text=text), "classes")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    once = found.filter("kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
+    repeated = written(gone.intersect(once), "repeated")  # rows of which one stays and the like go
+    gone = gone.subtract(repeated)
+    rows = docs.withColumn("_sha", F.sha2(normal(text), 256)).withColumn("_id", F.col(doc_id).cast("long"))
+    small = gone.count() <= BROADCAST_DIGESTS
+    match = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha"))
+    left = rows.join(F.broadcast(gone) if small else gone, match, "left_anti")
+    if repeated.limit(1).count():
+        left = left.join(repeated, match, "left_anti").unionByName(rows.join(repeated, match, "left_semi").dropDuplicates(["_id", "_sha"]))
+    return left.drop("_sha", "_id")
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t,

@@ -81,6 +81,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     return dealt.join(last, "row", "left").select("doc_id", "size", F.col("words").cast("long").alias("source_size"), "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.alias("repeats"))
 
 
+#: Rows of (doc_id, repeats) that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs, with all their columns, each as often as mix() repeats it; rows of one doc_id as
+    often as the most repeated of them. docs has no columns _id, _repeats and _copy."""
+    dealt = written(mix(docs, weights, epochs, seed, doc_id, text, source).groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_repeats")).filter("_repeats > 0"), "repeats")
+    small = dealt.count() <= BROADCAST_ROWS
+    rows = docs.join(F.broadcast(dealt) if small else dealt, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")))
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_repeats"))).drop("_id", "_repeats", "_copy")
+
+
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,

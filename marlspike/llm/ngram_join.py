@@ -252,6 +252,14 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     return base.join(final, F.col("doc_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose doc_id is their class's least; null doc_ids stay."""
+    gone = similar_classes(docs, n, percent, doc_id, text).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    gone = written(gone.distinct(), "gone")
+    match = F.col(doc_id).cast("long") == F.col("_gone")
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, match, "left_anti")
+
+
 SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
