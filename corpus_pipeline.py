@@ -1,19 +1,47 @@
-"""A training corpus from documents: stages over the operators of marlspike.llm."""
+"""A training corpus from documents, in stages over the operators of marlspike.llm: toxic documents go,
+then exact copies, then all but one of each group of near-duplicates; sources are mixed to their
+weights, and what is left is packed. Every stage works on all that the one before it kept; all but
+the last return the columns of documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlspike.llm import packing
+from marlspike.llm import classifiers, exact_dedup, mixing, ngram_join, packing
 from marlspike.llm.common import table, vocabulary, written
 
 
-def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return classifiers.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.kept_rows(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Five words and a similarity of 0.8; of each group the smallest doc_id stays."""
+    return ngram_join.one_of_each(docs, n=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that the mix repeats is there as often, under its doc_id."""
+    return mixing.mixed_rows(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("mixing sources to target weights", mix_sources),
+    ("best-fit packing", pack_sequences),
+]
 
+#: The first stage learns a classifier, which SQL can't express.
 ORACLE_SQL = None
 
 
