@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import written
 from .textvec import _BYTE_CODE, _LOWER_CODE, SPACE_BYTES, mix, pieces, run_hashes, spans, utf8_buffers
 
 #: Hashed features.
@@ -184,10 +185,11 @@ def fit_ordinal(sample: Sample, grades: int, steps: int = 400, rate: float = 0.0
     return w, first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
 
 
-def _sampled(rows: DataFrame, most: int, shapes: bool) -> tuple[list[bytes], list[int]]:
-    """Features of the ``most`` rows (doc_id, text, y) of least hash."""
-    some = rows.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(most).select("y", F.coalesce("text", F.lit("")).alias("text"))
-    got = some.mapInArrow(_features(shapes), "y int, codes binary").collect()  # most rows at the most
+def _sampled(docs: DataFrame, known: DataFrame, most: int, shapes: bool, doc_id: str, text: str) -> tuple[list[bytes], list[int]]:
+    """Features of the ``most`` documents of known (label_id, y) of least hash: bounded, so they are broadcast to the texts."""
+    some = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+    rows = docs.select(F.col(doc_id).cast("long").alias("label_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), "label_id").select("label_id", "y", "text")
+    got = rows.select("y", "text").mapInArrow(_features(shapes), "y int, codes binary").collect()  # most rows, but for repeated ids
     return [bytes(r["codes"]) for r in got], [r["y"] for r in got]
 
 
@@ -218,11 +220,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, grade: Column) -> DataFrame:
-    """(doc_id, text, y) of the rows that may be learnt from; repeated labels of a document count as their highest."""
-    own = labels.select(F.col("doc_id").cast("long").alias("label_id"), grade.cast("int").alias("y")).filter("y is not null").groupBy("label_id").agg(F.max("y").alias("y"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.join(own, F.col("doc_id") == F.col("label_id")).filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "y")
+def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, grade: Column) -> DataFrame:
+    """(label_id, y) of the documents that may be learnt from; repeated labels of one count as their highest."""
+    own = labels.select(F.col("doc_id").cast("long").alias("label_id"), grade.cast("int").alias("y")).filter("y is not null").filter(~held_out(F.col("label_id")))
+    ids = docs.select(F.col(doc_id).cast("long").alias("label_id"))
+    return written(own.groupBy("label_id").agg(F.max("y").alias("y")).join(ids, "label_id", "left_semi"), "labelled")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -251,12 +253,12 @@ def without_toxic(docs: DataFrame, labels: DataFrame, most_positive: int = 4000,
 
 
 def _toxicity_model(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, doc_id: str, text: str) -> tuple[np.ndarray, float] | None:
-    known = _labelled(docs, labels, doc_id, text, F.col("toxic"))
+    known = _labelled(docs, labels, doc_id, F.col("toxic"))
     total, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not toxic:
         return None
-    a, _ = _sampled(known.filter("y = 1"), most_positive, False)
-    b, _ = _sampled(known, most_unlabelled, False)
+    a, _ = _sampled(docs, known.filter("y = 1"), most_positive, False, doc_id, text)
+    b, _ = _sampled(docs, known, most_unlabelled, False, doc_id, text)
     sample = Sample(a + b, [1] * len(a) + [0] * len(b))
     w, c = fit_nnpu(sample, min(0.95, max(0.001, toxic / total)))
     return sample.spread(w), float(c)
@@ -272,8 +274,8 @@ def quality(docs: DataFrame, labels: DataFrame, grade: Column | None = None, gra
     """
     if grade is None:
         grade = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
-    known = _labelled(docs, labels, doc_id, text, grade)
-    codes, y = _sampled(known, most, True)
+    known = _labelled(docs, labels, doc_id, grade)
+    codes, y = _sampled(docs, known, most, True, doc_id, text)
     if not y:
         return docs.select(F.col(doc_id).cast("long").alias("doc_id")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_probability"), F.lit(True).alias("kept"))
     sample = Sample(codes, np.clip(y, 0, grades - 1).tolist())
