@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, written
+from .common import drop_written, release, written
 from .components import components
 from .textvec import mix, pieces, utf8_buffers, words
 
@@ -134,6 +134,19 @@ def sketch(items: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8)).tobytes()
 
 
+def wide_sketch(items: np.ndarray) -> bytes:
+    """A parity sketch with about a bit for each element, a power of two and SKETCH at least."""
+    bits = max(SKETCH, 1 << max(0, len(items) - 1).bit_length())
+    own = np.bincount(((items >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(own.astype(np.uint8)).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """At most the difference of the two sets; the longer sketch is folded to the shorter one's length."""
+    x, y = (np.frombuffer(v, np.uint64) for v in sorted((a, b), key=len))
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum(dtype=np.int64))
+
+
 def _texts(batches, most: int = 1_500_000):
     """(doc_ids, bytes, offsets) of bounded parts of batches (doc_id, text)."""
     for batch in batches:
@@ -143,25 +156,24 @@ def _texts(batches, most: int = 1_500_000):
             yield ids.slice(a, b - a), data, offsets[a : b + 1]
 
 
-def _signed(n: int, percent: int):
-    """Batches (doc_id, text) -> (doc_id, n_shingles, h1, h2, signatures); of equal sets in a task, the first signs."""
+def _identified(n: int):
+    """Batches (doc_id, text) -> (doc_id, n_shingles, h1, h2): equal sets have the same two hashes."""
+
+    def run(batches):
+        for ids, data, offsets in _texts(batches):
+            sets = shingle_hashes(data, offsets, n)
+            hashes = [np.array([mix(f(x)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64) for f in (lambda x: x + _C[0], lambda x: x ^ _C[7])]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, hashes)], names=["doc_id", "n_shingles", "h1", "h2"])
 
+    return run
+
+
+def _signed(n: int, percent: int):
     def run(batches):
-        own, seen = schemes(percent), set()
+        own = schemes(percent)
         for ids, data, offsets in _texts(batches):
-            sizes, h1, h2, sigs = [], [], [], []
-            for doc, items in zip(ids.to_pylist(), shingle_hashes(data, offsets, n), strict=True):
-                a = int(mix(items + _C[0]).sum(dtype=np.uint64)) if len(items) else 0
-                b = int(mix(items ^ _C[7]).sum(dtype=np.uint64)) if len(items) else 0
-                sizes.append(len(items))
-                h1.append(a - (1 << 64) if a >> 63 else a)
-                h2.append(b - (1 << 64) if b >> 63 else b)
-                if doc is None or not len(items) or (a, b) in seen:
-                    sigs.append(None)
-                else:
-                    seen.add((a, b))
-                    sigs.append(own.signatures(items).view(np.int64))
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "h1", "h2", "sigs"])
+            sigs = [own.signatures(x).view(np.int64) for x in shingle_hashes(data, offsets, n)]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=["doc", "sigs"])
 
     return run
 
@@ -170,42 +182,102 @@ def _sets(n: int):
     def run(batches):
         for ids, data, offsets in _texts(batches):
             sets = shingle_hashes(data, offsets, n)
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([sketch(x) for x in sets], pa.binary())], names=["doc_id", "items", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([sketch(x) for x in sets], pa.binary()), pa.array([wide_sketch(x) for x in sets], pa.binary())], names=["doc_id", "items", "sketch", "wide"])
+
+    return run
+
+
+def _screened(percent: int):
+    """Of batches (a, b, m, n, x, y) with sizes and wide sketches, the pairs that these can't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            rows = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in "mnxy"]
+            keep = [sketch_distance(x, y) * (100 + percent) <= (m + n) * (100 - percent) for m, n, x, y in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)).filter(pa.array(keep, pa.bool_())) for k in "ab"], names=["a", "b"])
 
     return run
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough."""
+    """Those of the pairs (a, b) whose whole sets are similar enough. Only pairs that sketches, a 64th of the
+    sets' size, can't rule out meet as sets."""
+    wide = sets.select("doc_id", F.size("items").cast("long"), "wide")
+    pairs = pairs.join(wide.toDF("a", "m", "x"), "a").join(wide.toDF("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    pairs = written(pairs.mapInArrow(_screened(percent), "a long, b long"), "screened")
     left = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return pairs.join(right, "b").join(left, "a").withColumn("both", both).filter(100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))).select("a", "b")
 
 
-def _blocks(percent: int):
-    """For each (sig, block pair): pairs across components that the sketches and sizes can't rule out."""
+def _far_pairs(group: np.ndarray, doc: np.ndarray, comp: np.ndarray, size: np.ndarray, side: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of one group's rows (groups adjoin) across components that sizes and sketches can't rule out."""
+    last = np.searchsorted(group, group, side="right")
+    rows, out, step = np.arange(len(group)), [], 1
+    while len(rows):
+        rows = rows[rows + step < last[rows]]
+        a, b = rows, rows + step
+        open_ = (comp[a] != comp[b]) & ((side[a] == 0) | (side[a] != side[b]))
+        a, b = a[open_], b[open_]
+        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        fit = low * 100 >= high * percent
+        a, b = a[fit], b[fit]
+        far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        near = far * (100 + percent) <= (size[a] + size[b]) * (100 - percent)
+        if near.any():
+            a, b = a[near], b[near]
+            out.append(np.stack([np.minimum(doc[a], doc[b]), np.maximum(doc[a], doc[b])]))
+        step += 1
+    return np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+
+
+def _near(percent: int):
+    """Of batches (a, b, m, n, x, y) with sizes m, n and sketches x, y, the pairs that these can't rule out."""
 
-    def run(group: pa.Table) -> pa.Table:
-        doc, comp, size = (group.column(k).to_numpy() for k in ("doc", "comp", "size"))
-        side = group.column("side").to_numpy()  # 0: one block with itself; 1, 2: two blocks with each other
-        bits = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(doc), -1)
-        out = []
-        for k in range(len(doc)):
-            other = np.flatnonzero((doc > doc[k]) & (comp != comp[k])) if side[k] == 0 else np.flatnonzero((side == 2) & (comp != comp[k])) if side[k] == 1 else []
-            if len(other):
-                sizes = size[other] + size[k]
-                far = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
-                near = other[far * (100 + percent) <= sizes * (100 - percent)]
-                near = near[np.minimum(size[near], size[k]) * 100 >= np.maximum(size[near], size[k]) * percent]
-                if len(near):
-                    out.append(np.stack([np.minimum(doc[near], doc[k]), np.maximum(doc[near], doc[k])]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
+    def run(batches):
+        for batch in batches:
+            m, n = (batch.column(batch.schema.get_field_index(k)).to_numpy() for k in "mn")
+            bits = [np.frombuffer(b"".join(batch.column(batch.schema.get_field_index(k)).to_pylist()), np.uint64).reshape(len(m), -1) for k in "xy"]
+            far = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1, dtype=np.int64)
+            keep = (np.minimum(m, n) * 100 >= np.maximum(m, n) * percent) & (far * (100 + percent) <= (m + n) * (100 - percent))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(k)).filter(pa.array(keep)) for k in "ab"], names=["a", "b"])
 
     return run
 
 
+def _blocks(percent: int, most: int = 20_000):
+    """Rows sorted by (sig, i, j) -> pairs to verify; whole groups at a time, each of a bounded block's size."""
+
+    def pairs(table: pa.Table) -> pa.RecordBatch:
+        sig, i, j, doc, comp, size, side = (table.column(k).to_numpy() for k in ("sig", "i", "j", "doc", "comp", "size", "side"))
+        fresh = np.append(True, (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(doc), -1)
+        got = _far_pairs(np.cumsum(fresh), doc, comp, size, side, bits, percent)
+        return pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            own = pa.Table.from_batches([batch])
+            held = own if held is None else pa.concat_tables([held, own])
+            if held.num_rows >= most:
+                key = [held.column(k).to_numpy() for k in ("sig", "i", "j")]
+                turn = np.flatnonzero(np.any([k[1:] != k[:-1] for k in key], axis=0))
+                if len(turn):  # the last group may go on
+                    yield pairs(held.slice(0, int(turn[-1]) + 1).combine_chunks())
+                    held = held.slice(int(turn[-1]) + 1).combine_chunks()
+        if held is not None and held.num_rows:
+            yield pairs(held.combine_chunks())
+
+    return run
+
+
+def _with_small(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
+    """A join that broadcasts the small side if its rows are few enough, by count, and else shuffles both."""
+    return big.join(F.broadcast(small) if small.count() <= BROADCAST_IDS else small, on, how)
+
+
 def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs.
 
@@ -216,36 +288,45 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     documents: no rows. Extra columns of docs are not read.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = written(rows.mapInArrow(_signed(n, percent), "doc_id long, n_shingles long, h1 long, h2 long, sigs array<long>"), "signed")
-    base = signed.select("doc_id", "n_shingles", "h1", "h2")
+    known = rows.filter("doc_id is not null")
+    base = written(rows.mapInArrow(_identified(n), "doc_id long, n_shingles long, h1 long, h2 long"), "sets")
     sets_of = base.filter("n_shingles > 0 and doc_id is not null")
-    equal = sets_of.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last")
-    same = written(sets_of.join(equal, ["n_shingles", "h1", "h2"]).filter("doc_id <> rep").select("doc_id", "rep"), "equal")
+    equal = written(sets_of.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).filter("rep < last").drop("last"), "equal")
+    same = written(_with_small(sets_of, equal, ["n_shingles", "h1", "h2"], "inner").filter("doc_id <> rep").select("doc_id", "rep").distinct(), "same")
 
     each = Window.partitionBy("sig")
-    shared = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("doc")).withColumns({"low": F.min("doc").over(each), "high": F.max("doc").over(each)}).filter("low < high").select("sig", "doc")
-    one_rep = same.groupBy(F.col("doc_id").alias("doc")).agg(F.min("rep").alias("rep"))
-    nodes = shared.join(one_rep, "doc", "left").select("sig", F.coalesce("rep", "doc").alias("doc")).distinct()
-    multi = written(nodes.withColumns({"low": F.min("doc").over(each), "n": F.count("doc").over(each)}).filter("n > 1"), "shared")
+    own_sets = sets_of.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).filter("x = y")
+    copies = written(same.select("doc_id").distinct().join(own_sets, "doc_id", "left_semi"), "copies")  # their class's least signs for them
+    reps = _with_small(known, copies, "doc_id", "left_anti")
+    nodes = reps.mapInArrow(_signed(n, percent), "doc long, sigs array<long>").select(F.explode("sigs").alias("sig"), "doc")
+    multi = written(nodes.withColumns({"low": F.min("doc").over(each), "high": F.max("doc").over(each)}).filter("low < high").drop("high").distinct(), "shared")
+
+    del reps, nodes
+    release(docs.sparkSession)
 
-    stars = multi.filter("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
     ids = written(multi.select(F.col("doc").alias("doc_id")).distinct(), "candidates")
-    known = rows.filter("doc_id is not null")
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = known.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, items array<long>, sketch binary")
-    sets = written(sets, "sets")
-    first = written(stars, "pairs")
+    sets = written(_with_small(known, ids, "doc_id", "left_semi").mapInArrow(_sets(n), "doc_id long, items array<long>, sketch binary, wide binary"), "sets")
+    info = written(sets.select(F.col("doc_id").alias("doc"), F.size("items").cast("long").alias("size"), "sketch"), "info")
+    stars = multi.filter("doc <> low").select(F.col("low").alias("a"), F.col("doc").alias("b")).distinct()
+    stars = stars.join(info.toDF("a", "m", "x"), "a").join(info.toDF("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y")
+    first = written(stars.mapInArrow(_near(percent), "a long, b long").distinct(), "pairs")
     links = written(_verified(first, sets, percent).unionByName(same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
+    del stars
+    release(docs.sparkSession)
     found = written(components(links), "components")
 
     comp = multi.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
     mixed = comp.groupBy("sig").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).filter("c0 < c1").select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    info = sets.select(F.col("doc_id").alias("doc"), F.size("items").cast("long").alias("size"), "sketch")
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
     sides = F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) as i, greatest(o, block) as j, if(o = block, 0, if(block < o, 1, 2)) as side))")
     left = comp.join(mixed, "sig").join(info, "doc").withColumn("block", own).select("sig", "doc", "comp", "size", "sketch", F.explode(sides).alias("s")).select("sig", "doc", "comp", "size", "sketch", "s.i", "s.j", "s.side")
-    second = left.groupBy("sig", "i", "j").applyInArrow(_blocks(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = written(_verified(second, sets, percent), "links")
+    dealt = left.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    second = dealt.mapInArrow(_blocks(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    more = written(_verified(written(second, "pairs"), sets, percent), "links")
+    del left, dealt, second
+    drop_written(multi)
+    drop_written(sets)
+    release(docs.sparkSession)
     if more.limit(1).count():
         found = written(components(links.unionByName(more)), "components")
     final = found.groupBy("node").agg(F.min("component").alias("component"))

@@ -89,6 +89,7 @@ def test_sketch_never_exceeds_the_difference():
         a, b = (rnd.integers(0, 2**63, rnd.integers(0, 900)).astype(np.uint64) for _ in "ab")
         bits = [np.frombuffer(ngram_join.sketch(x), np.uint64) for x in (a, np.concatenate([a, b]))]
         assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(b)
+        assert ngram_join.sketch_distance(ngram_join.wide_sketch(a), ngram_join.wide_sketch(np.concatenate([a, b]))) <= len(b)
 
 
 def test_null_ids_and_repeats(spark):
