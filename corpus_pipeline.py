@@ -25,8 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that the mix repeats is there as often, under its doc_id."""
-    return mixing.mixed_rows(docs)
+    """A document that the mix repeats is there as often, under its doc_id. Long documents don't end a source's fill."""
+    return mixing.mixed_rows(docs, refill=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

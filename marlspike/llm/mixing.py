@@ -4,12 +4,14 @@ Sources share all words by weight; a source stops at ``epochs`` times its own wo
 leaves is shared again, by weight, until none is above. A source's documents then repeat as often as
 its target holds its words, and what is left of the target is filled with whole documents in a seeded
 order while they fit; into the gap then goes the one other document whose size is nearest to it, if
-that comes nearer to the target. The order is cut into buckets; only the bucket where a source's
-target ends is sorted.
+that comes nearer to the target. With ``refill``, documents that don't fit are passed over and the fill
+goes on behind them until none fits. The order is cut into buckets; only the buckets where a source's
+target ends are sorted.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .common import word_count, written
 
 #: Documents in a bucket of the seeded order, about.
 BUCKET = 20_000
+#: Documents of a source that a round of the refill scans, about; a bucket with more is scanned as one.
+SCAN = 1_000
 
 
 def water_fill(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3) -> DataFrame:
@@ -46,13 +50,17 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs:
     return weighed.withColumn("target", target)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", size: Column | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", size: Column | None = None, refill: bool = False) -> DataFrame:
     """doc_id, size, source_size, target (its source's), taken, repeats for every row of docs.
 
     ``size``: the words of the text (null: 0) unless given. taken = size * repeats; repeats is at most
     ``epochs``. Null sources are one source. Documents without words repeat as often as their source
     does wholly. The order is by md5 of seed and doc_id, then size: reruns and other splits agree.
     Repeated rows are documents of their own. No documents: no rows. Extra columns are not read.
+
+    Without ``refill`` (the rule of this module's SQL) a source's fill ends at its first document that
+    doesn't fit, so one very long document there leaves a large gap. With it, every later document that
+    still fits is taken: what is missing is then less than any document left out.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), (size if size is not None else word_count(F.col(text))).alias("size"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "sizes")
@@ -74,6 +82,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     upto = Window.partitionBy("s", "b").orderBy("h", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     cut = known.filter(edge).withColumn("more", F.when((F.col("size") > 0) & (F.col("before") + F.sum("size").over(upto) <= F.col("rest")), 1).otherwise(0))
     dealt = written(clear.unionByName(cut).select("doc_id", "row", "h", "s", "size", "words", "target", "whole", "rest", "more"), "dealt")
+    if refill:
+        dealt = _refilled(dealt, bucket)
     gaps = dealt.groupBy("s").agg((F.first("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap")).filter("gap > 0").withColumnRenamed("s", "g")
     off = F.abs(F.col("size") - F.col("gap"))
     last = dealt.filter("more = 0 and size > 0").join(gaps, F.col("s").eqNullSafe(F.col("g"))).filter(off < F.col("gap")).groupBy("g").agg(F.min(F.struct(off.alias("off"), "h", "size", "row")).alias("pick")).select(F.col("pick.row").alias("row"), F.lit(1).alias("last"))
@@ -81,14 +91,57 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     return dealt.join(last, "row", "left").select("doc_id", "size", F.col("words").cast("long").alias("source_size"), "target", (F.col("size") * repeats).cast("long").alias("taken"), repeats.alias("repeats"))
 
 
+def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a source's next buckets that fit into its gap, each taken in order if it still does."""
+    pdf = pdf.sort_values(["h", "size", "row"])
+    room, took = float(pdf["room"].iloc[0]), []
+    for row, size in zip(pdf["row"], pdf["size"], strict=True):
+        if size <= room:
+            room -= size
+            took.append(row)
+    return pd.DataFrame({"row": pd.Series(took, dtype="int64")})
+
+
+def _refilled(dealt: DataFrame, bucket: Column) -> DataFrame:
+    """dealt with ``more`` set for all documents that a walk along the seeded order finds to fit.
+
+    A round takes a source's buckets whole while all that is small enough in them fits, then scans the
+    next ones; it goes on behind them, with documents of at most the gap that is left, until there are none.
+    """
+    open_ = dealt.filter("more = 0 and size > 0").select("s", "h", "size", "row", bucket.alias("b"))
+    gaps = written(dealt.groupBy("s").agg((F.first("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap")).select(F.col("s").alias("g"), "gap", F.lit("").alias("upto")).filter("gap > 0"), "gaps")
+    run, ahead = Window.partitionBy("g").orderBy("b"), Window.partitionBy("g", "clear").orderBy("b")
+    taken = None
+    while True:
+        left = open_.join(gaps, F.col("s").eqNullSafe(F.col("g")) & (F.col("b") > F.col("upto")) & (F.col("size") <= F.col("gap")))
+        sums = left.groupBy("g", "gap", "b").agg(F.sum("size").alias("own"), F.count("*").alias("n"))
+        sums = sums.withColumn("to", F.sum("own").over(run)).withColumn("clear", F.col("to") <= F.col("gap"))
+        sums = sums.withColumn("scan", ~F.col("clear") & ((F.row_number().over(ahead) == 1) | (F.sum("n").over(ahead) <= SCAN)))
+        room = F.col("gap") - F.coalesce(F.max(F.when(F.col("clear"), F.col("to"))).over(Window.partitionBy("g")), F.lit(0))
+        plan = written(sums.withColumn("room", room).filter("clear or scan").select(F.col("g").alias("pg"), F.col("b").alias("pb"), "clear", "room"), "round")
+        if not plan.limit(1).count():
+            break
+        met = left.join(plan, F.col("g").eqNullSafe(F.col("pg")) & (F.col("b") == F.col("pb"))).select("s", "h", "size", "row", "room", "clear")
+        scanned = met.filter("not clear").groupBy("s").applyInPandas(_scan, "row long")
+        new = written(met.filter("clear").select("row").unionByName(scanned), "taken")
+        spent = open_.join(new, "row").groupBy(F.col("s").alias("ns")).agg(F.sum("size").alias("spent"))
+        seen = plan.groupBy("pg").agg(F.max("pb").alias("pb"))
+        gaps = gaps.join(seen, F.col("g").eqNullSafe(F.col("pg"))).join(spent, F.col("g").eqNullSafe(F.col("ns")))
+        gaps = written(gaps.select("g", (F.col("gap") - F.col("spent")).alias("gap"), F.col("pb").alias("upto")).filter("gap > 0"), "gaps")
+        taken = new if taken is None else taken.unionByName(new)
+    if taken is None:
+        return dealt
+    return written(dealt.join(taken.withColumn("refill", F.lit(1)), "row", "left").withColumn("more", F.coalesce("refill", "more")).drop("refill"), "refilled")
+
+
 #: Rows of (doc_id, repeats) that may be broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
-def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", refill: bool = False) -> DataFrame:
     """The rows of docs, with all their columns, each as often as mix() repeats it; rows of one doc_id as
     often as the most repeated of them. docs has no columns _id, _repeats and _copy."""
-    dealt = written(mix(docs, weights, epochs, seed, doc_id, text, source).groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_repeats")).filter("_repeats > 0"), "repeats")
+    dealt = written(mix(docs, weights, epochs, seed, doc_id, text, source, refill=refill).groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_repeats")).filter("_repeats > 0"), "repeats")
     small = dealt.count() <= BROADCAST_ROWS
     rows = docs.join(F.broadcast(dealt) if small else dealt, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")))
     return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_repeats"))).drop("_id", "_repeats", "_copy")

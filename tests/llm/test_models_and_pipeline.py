@@ -119,6 +119,34 @@ def test_mixing(spark):
     assert dict(zip(copies.doc_id, copies["count"], strict=True)) == {r.doc_id: r.repeats for r in got.itertuples() if r.repeats}
 
 
+def test_mixing_goes_on_behind_long_documents(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(k, " ".join(["w"] * rnd.randint(5, 60)), "en", rnd.choice(["a"] * 8 + ["b", None]), 1) for k in range(1500)]
+    rows += [(6000 + k, "x " * (7000 + 300 * k), "en", "a", 0) for k in range(6)]
+    docs = spark.createDataFrame(rows, DOCS)
+    source, size = {r[0]: r[3] for r in rows}, {r[0]: len(r[1].split()) for r in rows}
+    order = sorted(rows, key=lambda r: hashlib.md5(f"mix{r[0]}".encode()).hexdigest())
+    got = mixing.mix(docs, refill=True).toPandas()
+    repeats, target = dict(zip(got.doc_id, got.repeats, strict=True)), dict(zip(got.doc_id, got.target, strict=True))
+    for s in ("a", "b", None):
+        own = [r[0] for r in order if source[r[0]] == s]
+        words, goal = sum(size[i] for i in own), target[own[0]]
+        whole = min(3, int(goal // words))
+        gap, more = goal - whole * words if whole < 3 else 0, set()
+        for i in own:
+            if size[i] <= gap:
+                gap -= size[i]
+                more.add(i)
+        near = min((i for i in own if i not in more and abs(size[i] - gap) < gap), key=lambda i: abs(size[i] - gap), default=None)
+        assert [repeats[i] for i in own] == [whole + (i in more) + (i == near) for i in own]
+    mixed = corpus_pipeline.mix_sources(spark, docs, "").groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), " "))).alias("n")).collect()
+    assert len(mixed) == 3 and all(abs(r["n"] - next(t for i, t in target.items() if source[i] == r["source"])) < 60 for r in mixed)
+    monkeypatch.setattr(mixing, "SCAN", 1)
+    monkeypatch.setattr(mixing, "BUCKET", 2)
+    again = mixing.mix(docs.repartition(5), refill=True).toPandas()
+    assert dict(zip(again.doc_id, again.repeats, strict=True)) == repeats
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, shard int, kth int, v int"
 
 
