@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import written
+from .common import free_names, written
 from .textvec import _BYTE_CODE, _LOWER_CODE, SPACE_BYTES, mix, pieces, run_hashes, spans, utf8_buffers
 
 #: Hashed features.
@@ -193,8 +193,8 @@ def _sampled(docs: DataFrame, known: DataFrame, most: int, shapes: bool, doc_id:
     return [bytes(r["codes"]) for r in got], [r["y"] for r in got]
 
 
-def _raw(docs: DataFrame, weights: np.ndarray, shapes: bool, doc_id: str, text: str, carry: bool = False) -> DataFrame:
-    """doc_id and the sum z of the weights of the features that each whole text has; with ``carry``, all columns of docs and z."""
+def _raw(docs: DataFrame, weights: np.ndarray, shapes: bool, doc_id: str, text: str, carry: str | None = None) -> DataFrame:
+    """doc_id and the sum z of the weights of the features that each whole text has; with ``carry``, all columns of docs and z under that name."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS numbers, whatever the corpus
 
     def run(batches):
@@ -207,12 +207,12 @@ def _raw(docs: DataFrame, weights: np.ndarray, shapes: bool, doc_id: str, text:
                 both = np.unique(doc[hit] << BITS | code[hit])
                 out[a:b] = np.bincount(both >> BITS, w[both & ((1 << BITS) - 1)], minlength=b - a)
             if carry:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, "z"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=[*batch.schema.names, carry])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out)], names=["doc_id", "z"])
 
     if carry:
-        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("z", DoubleType())]))
+        return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(carry, DoubleType())]))
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, z double")
 
 
@@ -245,11 +245,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that toxicity() doesn't predict to be toxic. docs has no column z."""
+    """The rows of docs, with all their columns, that toxicity() doesn't predict to be toxic."""
     model = _toxicity_model(docs, labels, most_positive, most_unlabelled, doc_id, text)
     if model is None:
         return docs
-    return _raw(docs, model[0], False, doc_id, text, carry=True).filter(F.col("z") + F.lit(model[1]) < 0).drop("z")
+    (z,) = free_names(docs, "z")
+    return _raw(docs, model[0], False, doc_id, text, carry=z).filter(F.col(z) + F.lit(model[1]) < 0).drop(z)
 
 
 def _toxicity_model(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, doc_id: str, text: str) -> tuple[np.ndarray, float] | None:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, written
+from .common import SPACES, free_names, written
 from .textvec import mix
 
 #: Digests in a filter, about.
@@ -182,19 +182,20 @@ def classes(docs: DataFrame, in_snapshot: Column | None = None, doc_id: str = "d
 
 
 def kept_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, that stay by classes(). docs has no columns _sha and _id."""
+    """The rows of docs, with all their columns, that stay by classes()."""
+    sha, key, gone_id, gone_sha = free_names(docs, "_sha", "_id", "_gone", "_gone_sha")
     found = written(classes(docs, doc_id=doc_id, text=text), "classes")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
-    once = found.filter("kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha"))
+    gone = found.filter("not kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha)).distinct()
+    once = found.filter("kept").select(F.col("doc_id").alias(gone_id), F.col("text_sha256").alias(gone_sha))
     repeated = written(gone.intersect(once), "repeated")  # rows of which one stays and the like go
     gone = gone.subtract(repeated)
-    rows = docs.withColumn("_sha", F.sha2(normal(text), 256)).withColumn("_id", F.col(doc_id).cast("long"))
+    rows = docs.withColumn(sha, F.sha2(normal(text), 256)).withColumn(key, F.col(doc_id).cast("long"))
     small = gone.count() <= BROADCAST_DIGESTS
-    match = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_sha") == F.col("_gone_sha"))
+    match = F.col(key).eqNullSafe(F.col(gone_id)) & (F.col(sha) == F.col(gone_sha))
     left = rows.join(F.broadcast(gone) if small else gone, match, "left_anti")
     if repeated.limit(1).count():
-        left = left.join(repeated, match, "left_anti").unionByName(rows.join(repeated, match, "left_semi").dropDuplicates(["_id", "_sha"]))
-    return left.drop("_sha", "_id")
+        left = left.join(repeated, match, "left_anti").unionByName(rows.join(repeated, match, "left_semi").dropDuplicates([key, sha]))
+    return left.drop(sha, key)
 
 
 SQL = r"""

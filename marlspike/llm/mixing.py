@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count, written
+from .common import free_names, word_count, written
 
 #: Documents in a bucket of the seeded order, about.
 BUCKET = 20_000
@@ -140,11 +140,12 @@ BROADCAST_ROWS = 200_000
 
 def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", refill: bool = False) -> DataFrame:
     """The rows of docs, with all their columns, each as often as mix() repeats it; rows of one doc_id as
-    often as the most repeated of them. docs has no columns _id, _repeats and _copy."""
-    dealt = written(mix(docs, weights, epochs, seed, doc_id, text, source, refill=refill).groupBy(F.col("doc_id").alias("_id")).agg(F.max("repeats").alias("_repeats")).filter("_repeats > 0"), "repeats")
+    often as the most repeated of them."""
+    key, repeats, copy = free_names(docs, "_id", "_repeats", "_copy")
+    dealt = written(mix(docs, weights, epochs, seed, doc_id, text, source, refill=refill).groupBy(F.col("doc_id").alias(key)).agg(F.max("repeats").alias(repeats)).filter(F.col(repeats) > 0), "repeats")
     small = dealt.count() <= BROADCAST_ROWS
-    rows = docs.join(F.broadcast(dealt) if small else dealt, F.col(doc_id).cast("long").eqNullSafe(F.col("_id")))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_repeats"))).drop("_id", "_repeats", "_copy")
+    rows = docs.join(F.broadcast(dealt) if small else dealt, F.col(doc_id).cast("long").eqNullSafe(F.col(key)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), repeats))).drop(key, repeats, copy)
 
 
 SQL = r"""

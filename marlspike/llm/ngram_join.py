@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_written, release, written
+from .common import drop_written, free_names, release, written
 from .components import components
 from .textvec import mix, pieces, utf8_buffers, words
 
@@ -335,9 +335,10 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, whose doc_id is their class's least; null doc_ids stay."""
-    gone = similar_classes(docs, n, percent, doc_id, text).filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    (name,) = free_names(docs, "_gone")
+    gone = similar_classes(docs, n, percent, doc_id, text).filter("component_id <> doc_id").select(F.col("doc_id").alias(name))
     gone = written(gone.distinct(), "gone")
-    match = F.col(doc_id).cast("long") == F.col("_gone")
+    match = F.col(doc_id).cast("long") == F.col(name)
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, match, "left_anti")
 
 

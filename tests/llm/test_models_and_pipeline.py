@@ -219,6 +219,20 @@ def test_chat_runs_no_python(spark):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_pipeline_stages_keep_columns_with_any_names(spark, tmp_path):
+    rows, labels = corpus(12, 200)
+    rows += [(1000 + k, "just the same", "en", "s2", 1) for k in range(5)] + [(1000, "just the same", "en", "s2", 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = ["Z", "_z", "_sha", "_id", "_gone", "_gone_sha", "_repeats", "_copy", "__id"]
+    plain = spark.createDataFrame(rows, DOCS)
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        want = sorted(r["doc_id"] for r in stage(spark, plain, str(tmp_path)).collect())
+        got = stage(spark, plain.withColumns({c: F.concat(F.lit(c), "doc_id") for c in names}), str(tmp_path))
+        assert got.columns == [*plain.columns, *names]
+        out = got.collect()
+        assert sorted(r["doc_id"] for r in out) == want and all(r[c] == f"{c}{r['doc_id']}" for r in out for c in names)
+
+
 def test_pipeline_stages(spark, tmp_path):
     rows, labels = corpus(11, 400)
     rows = [(i, t, lang, s, len(t)) for i, t, lang, s, _ in rows]
