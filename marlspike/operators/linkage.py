@@ -147,7 +147,7 @@ def scored_terms(terms: DataFrame, catalog: DataFrame, settings: Settings = DEFA
 
 
 def _fuzzy_stage(q: DataFrame, catalog: DataFrame, settings: Settings) -> DataFrame:
-    made = F.concat(F.slice(T.optical_variants("name"), 2, 10_000), F.slice(T.character_variants("name"), 2, 10_000))
+    made = F.concat(*[F.slice(v, F.lit(2), F.size(v)) for v in (T.optical_variants("name"), T.character_variants("name"))])
     own = F.transform(F.array_distinct(F.array("q", "name")), lambda t: F.struct(t.alias("term"), F.lit("fuzzy").alias("stage")))
     asked = q.select("q", "q_strength", "q_form", F.posexplode(F.concat(own, F.transform(made, lambda t: F.struct(t.alias("term"), F.lit("ocr_corrected").alias("stage"))))).alias("turn", "t")).select("q", "q_strength", "q_form", "turn", F.col("t.term").alias("term"), F.col("t.stage").alias("stage"))
     asked = staged(asked.withColumn("term", T.lookup_key("term")).filter("term <> ''"), "terms")

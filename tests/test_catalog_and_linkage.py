@@ -71,6 +71,15 @@ def test_golden_resolutions(spark, full):
     assert rows[3]["matched_id"] is None and rows[4]["candidates"] == []
 
 
+def test_every_confusable_place_of_a_long_name_is_read(spark, monkeypatch):
+    real = linkage.scored_terms
+    monkeypatch.setattr(linkage, "scored_terms", lambda terms, *rest: real(terms.limit(0), *rest))  # exact hits alone
+    name = "l" * 5100  # two readings a place, so the last is variant 10,200
+    catalog = C.derived(spark.createDataFrame([("1", name[:-1] + "i", "legacy_manual")], "external_id string, generic_name string, source string"))
+    (row,) = resolved(spark, catalog, name)
+    assert (row["status"], row["match_type"], row["confidence"]) == ("HIGH_CONFIDENCE", "OCR_NORMALIZED_GENERIC", 100.0) and row["matched_id"]
+
+
 def test_strengths_and_forms_decide(spark, full):
     some = only(spark, full, "Dolo 650", "Crocin 650", "Calpol 500", "Calpol Syrup")
     rows = resolved(spark, some, "Paracetamol 500mg tablet", "Paracetamol 500mg syrup", "Paracetamol", "Crocln 650", "Calpol Syrup")
