@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import free_names, written
-from .textvec import _BYTE_CODE, _LOWER_CODE, SPACE_BYTES, mix, pieces, run_hashes, spans, utf8_buffers
+from .textvec import LOWER, SPACE_BYTES, mix, pieces, run_hashes, spans, utf8_buffers
 
 #: Hashed features.
 BITS = 19
@@ -36,7 +36,7 @@ def _codes(data: np.ndarray, offsets: np.ndarray, shapes: bool) -> tuple[np.ndar
     own = data[offsets[0] : offsets[-1]]
     starts, ends, counts = spans(data, offsets, _SPLIT)
     doc = np.repeat(np.arange(len(counts)), counts)
-    code = _LOWER_CODE[own]
+    code = LOWER[own]
     docs, hashes = [doc], [run_hashes(code, starts, ends)]
     for k in _PREFIXES:
         long = ends - starts >= k
@@ -52,7 +52,7 @@ def _codes(data: np.ndarray, offsets: np.ndarray, shapes: bool) -> tuple[np.ndar
         kept = np.flatnonzero(turn)
         at, to = np.searchsorted(kept, starts), np.searchsorted(kept, ends)
         docs.append(np.repeat(np.arange(len(counts)), counts))
-        hashes.append(mix(run_hashes(_BYTE_CODE[kind[kept]], at, to) + np.uint64(99)))
+        hashes.append(mix(run_hashes(kind[kept], at, to) + np.uint64(99)))
     return np.concatenate(docs), (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
 
 

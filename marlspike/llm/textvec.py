@@ -16,10 +16,6 @@ import numpy as np
 #: Characters (or bytes) handled at once; one longer text makes one longer piece.
 PIECE = 1_500_000
 
-_R = np.uint64(0x9E3779B97F4A7C15 | 1)
-_RINV = np.uint64(pow(int(_R), -1, 1 << 64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift-multiply)."""
     x = x.astype(np.uint64, copy=True)
@@ -31,31 +27,41 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_POWERS = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """r**i and r**-i modulo 2**64 for i < n, kept between calls."""
-    if _POWERS["n"] < n:
-        n = max(n, PIECE + 1024)
-        for key, base in (("up", _R), ("down", _RINV)):
-            a = np.full(n, base, np.uint64)
-            a[0] = 1
-            _POWERS[key] = np.cumprod(a, dtype=np.uint64)
-        _POWERS["n"] = n
-    return _POWERS["up"], _POWERS["down"]
-
-
-def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run symbols[start:end] of uint64 values, independent of its place."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(symbols) + 1)
-    total = np.empty(len(symbols) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(symbols * up[: len(symbols)], dtype=np.uint64, out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: Bytes of a run that are hashed vectorised; the library hashes longer ones, one by one.
+_LANES = 8
+_BELOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+_KEYS = [np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
+
+
+def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each run data[start:end] of bytes, independent of its place; with ``second``, another
+    one too, which together tell runs apart by 128 bits. Eight bytes at a time go through a bijective
+    finaliser that the length keys, so no structure of a run makes two hashes meet."""
+    n = ends - starts
+    buffer = np.zeros(len(data) + 8, np.uint8)
+    buffer[: len(data)] = data
+    lanes = np.ndarray(len(data) + 1, "<u8", buffer, strides=(1,))
+    h = n.astype(np.uint64) * _KEYS[0] + _KEYS[1]
+    g = n.astype(np.uint64) * _KEYS[2] + _KEYS[3] if second else None
+    for k in range(_LANES):
+        rows = np.flatnonzero(n > 8 * k) if k else slice(None)
+        if k and not len(rows):
+            break
+        v = lanes[starts[rows] + 8 * k] & _BELOW[np.minimum(n[rows] - 8 * k, 8)]
+        h[rows] = mix(h[rows] ^ v)
+        if second:
+            g[rows] = mix((g[rows] + v) * _KEYS[0])
+    long = np.flatnonzero(n > 8 * _LANES)
+    if len(long):
+        import xxhash
+
+        view = memoryview(buffer)
+        both = b"".join(xxhash.xxh3_128_digest(view[s:e]) for s, e in zip(starts[long].tolist(), ends[long].tolist(), strict=True))
+        both = np.frombuffer(both, ">u8").reshape(-1, 2).astype(np.uint64)
+        h[long] = both[:, 0]
+        if second:
+            g[long] = both[:, 1]
+    return (h, g) if second else h
 
 
 def pieces(sizes: list[int] | np.ndarray, most: int = PIECE):
@@ -73,10 +79,8 @@ def pieces(sizes: list[int] | np.ndarray, most: int = PIECE):
 #: The white space of the word contracts: space and U+0009 to U+000D.
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64))
-_LOWER_CODE = _BYTE_CODE[_LOWER]
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def utf8_buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -120,14 +124,11 @@ def spans(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE_BYTES
     return starts, ends, np.diff(np.searchsorted(starts, offsets))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts, and the number in each text.
-
-    With ``lower``, A-Z count as a-z. ``data`` may begin before offsets[0]; the texts must adjoin.
-    """
+def words(data: np.ndarray, offsets: np.ndarray, second: bool = False) -> tuple:
+    """Hashes (with ``second``, two) of the words ``[^\\x20\\x09-\\x0D]+`` of consecutive texts, A-Z as a-z, and
+    the number in each text. ``data`` may begin before offsets[0]; the texts must adjoin."""
     starts, ends, counts = spans(data, offsets)
-    own = data[offsets[0] : offsets[-1]]
-    return run_hashes((_LOWER_CODE if lower else _BYTE_CODE)[own], starts, ends), counts
+    return run_hashes(LOWER[data[offsets[0] : offsets[-1]]], starts, ends, second), counts
 
 
 # ---------------------------------------------------------------- tokens
@@ -139,7 +140,7 @@ _KNOWN = 0x0530
 
 
 @lru_cache(maxsize=1)
-def _classes() -> tuple[np.ndarray, np.ndarray]:
+def _classes() -> np.ndarray:
     kinds = np.full(_KNOWN, _OTHER, np.uint8)
     for c in range(_KNOWN):
         kind = unicodedata.category(chr(c))
@@ -147,7 +148,7 @@ def _classes() -> tuple[np.ndarray, np.ndarray]:
         if kind == "Cn":
             kinds[c] = 9  # unassigned: not known
     kinds[_WHITE_CHARS] = _WHITE
-    return kinds, mix(np.arange(1, _KNOWN + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
+    return kinds
 
 
 @lru_cache(maxsize=1)
@@ -166,13 +167,12 @@ _MARK = b"\xff\xc0\xff"
 
 
 class TokenEncoder:
-    """Token ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids`` with
-    ``encode_special_tokens`` on (control strings inside a text are ordinary text).
+    """Token ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False).ids``.
 
     The library's model encodes each distinct pre-token once per worker and the ids are gathered from
-    there; a pre-token never depends on its neighbours. Pre-tokens are told apart by a 64-bit hash.
-    Texts with code points at or above U+0530 are encoded whole by the library. The kept table is
-    bounded by ``most`` pre-tokens, then started anew.
+    there; a pre-token never depends on its neighbours. Pre-tokens are told apart by 128 bits. Texts
+    with code points at or above U+0530, or with the string of an added token, are encoded whole by
+    the library. The kept table is bounded by ``most`` pre-tokens, then started anew.
     """
 
     def __init__(self, path: str, most: int = 2_000_000):
@@ -180,16 +180,17 @@ class TokenEncoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         self.full.no_padding()
         self.full.no_truncation()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
         pre = spec.get("pre_tokenizer") or {}
         self.spaced = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         steps = [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])]
         self.lowered = steps == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in pre.get("pretokenizers", [])] == ["Split", "ByteLevel"]
-        self.fast = (self.spaced and not spec.get("normalizer")) or self.lowered
+        plain = not any(x.get(k) for x in spec.get("added_tokens", []) for k in ("normalized", "single_word", "lstrip", "rstrip"))
+        self.fast = plain and ((self.spaced and not spec.get("normalizer")) or self.lowered)
         self.light = Tokenizer(self.full.model)
         self.light.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         got = self.light.encode(_byte_chars()[0xC0], add_special_tokens=False).ids
@@ -200,7 +201,7 @@ class TokenEncoder:
 
     def _clear(self) -> None:
         self.slots = np.full(1 << 23, -1, np.int32)  # open addressing, linear probing
-        self.known = np.zeros(self.most + 1, np.uint64)
+        self.known = np.zeros((2, self.most + 1), np.uint64)
         self.place = np.zeros(self.most + 1, np.int32)
         self.count = np.zeros(self.most + 1, np.int32)
         self.rows = 0
@@ -229,10 +230,13 @@ class TokenEncoder:
             odd = dict(enumerate(map(self._whole, texts)))
         else:
             given, texts = texts, [x if x.isascii() and not self.lowered else self._normal(x) if self.lowered else x for x in texts]
-            kinds, _ = _classes()
+            kinds = _classes()
+            for k, x in enumerate(given):
+                if any(a in x for a in self.added):
+                    odd[k] = self._whole(x)
             if not all(x.isascii() for x in texts):
                 for k, x in enumerate(texts):
-                    if not x.isascii():
+                    if k not in odd and not x.isascii():
                         c = np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32)
                         if c.max() >= _KNOWN or (kinds[c] == 9).any():
                             odd[k] = self._whole(given[k])
@@ -264,14 +268,13 @@ class TokenEncoder:
         return ids, counts
 
     def _cut(self, joined: str, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes, starts and ends of the pre-tokens."""
+        """Hashes (two rows), starts and ends of the pre-tokens."""
         cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         n = len(cps)
         if not n:
             none = np.zeros(0, np.int64)
-            return np.zeros(0, np.uint64), none, none
-        kinds, codes = _classes()
-        kind = kinds[cps]
+            return np.zeros((2, 0), np.uint64), none, none
+        kind = _classes()[cps]
         opening = np.zeros(n + 1, bool)
         opening[bounds] = True
         start = np.empty(n, bool)
@@ -308,47 +311,54 @@ class TokenEncoder:
         if not self.spaced:
             keep = kind[starts] != _WHITE
             starts, ends = starts[keep], ends[keep]
-        return run_hashes(codes[cps], starts, ends), starts, ends
+        # all code points are below 2**16 here
+        return np.stack(run_hashes(cps.astype("<u2").view(np.uint8), 2 * starts, 2 * ends, second=True)), starts, ends
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """The row of each hash in the kept table, -1 where it has none."""
+        """The row of each pair of hashes in the kept table, -1 where it has none."""
         mask = np.uint64(len(self.slots) - 1)
-        slot = (hashes & mask).astype(np.int64)
+        slot = (hashes[0] & mask).astype(np.int64)
         row = self.slots[slot]
-        left = np.flatnonzero((row >= 0) & (self.known[row] != hashes))
+        left = np.flatnonzero((row >= 0) & (self.known[:, row] != hashes).any(axis=0))
         while len(left):
             slot[left] = (slot[left] + 1) & int(mask)
             row[left] = self.slots[slot[left]]
-            left = left[(row[left] >= 0) & (self.known[row[left]] != hashes[left])]
+            left = left[(row[left] >= 0) & (self.known[:, row[left]] != hashes[:, left]).any(axis=0)]
         return row
 
     def _add(self, hashes: np.ndarray) -> None:
-        """Gives new, distinct hashes the next rows."""
-        rows = np.arange(self.rows, self.rows + len(hashes), dtype=np.int32)
-        self.known[rows] = hashes
-        self.rows += len(hashes)
+        """Gives new, distinct pairs of hashes the next rows."""
+        rows = np.arange(self.rows, self.rows + hashes.shape[1], dtype=np.int32)
+        self.known[:, rows] = hashes
+        self.rows += len(rows)
         mask = len(self.slots) - 1
-        slot = (hashes & np.uint64(mask)).astype(np.int64)
+        slot = (hashes[0] & np.uint64(mask)).astype(np.int64)
         while len(rows):
             free = np.flatnonzero(self.slots[slot] < 0)
             self.slots[slot[free]] = rows[free]
             left = self.slots[slot] != rows
             rows, slot = rows[left], (slot[left] + 1) & mask
 
+    @staticmethod
+    def _distinct(hashes: np.ndarray) -> np.ndarray:
+        """Where each distinct pair of hashes comes first."""
+        order = np.lexsort((hashes[1], hashes[0]))
+        own = hashes[:, order]
+        return order[np.append(True, (own[:, 1:] != own[:, :-1]).any(axis=0))] if len(order) else order
+
     def _lookup(self, joined: str, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The row of each pre-token in the kept table, which gets the new ones first."""
-        if self.rows + len(hashes) > self.most:
-            own = len(np.unique(hashes))
+        if self.rows + hashes.shape[1] > self.most:
+            own = len(self._distinct(hashes))
             if self.rows + own > self.most:
                 most = max(self.most, own)
                 self._clear() if most == self.most else self._grow(own)
         at = self._find(hashes)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            own, first = np.unique(hashes[missing], return_index=True)
-            first = missing[first]
+            first = missing[self._distinct(hashes[:, missing])]
             base = self.rows
-            self._add(own)
+            self._add(hashes[:, first])
             for a in range(0, len(first), 10_000):
                 part = first[a : a + 10_000]
                 raw = _MARK.join(joined[s:e].encode("utf-8", "replace") for s, e in zip(starts[part].tolist(), ends[part].tolist(), strict=True)) + _MARK
@@ -365,7 +375,7 @@ class TokenEncoder:
                 self.place[rows] = self.used + np.cumsum(n) - n
                 self.count[rows] = n
                 self.used += len(ids)
-            at[missing] = self._find(hashes[missing])
+            at[missing] = self._find(hashes[:, missing])
         return at
 
     def _grow(self, most: int) -> None:
