@@ -54,9 +54,10 @@ def brute(rows, n, percent):
 
 
 @pytest.mark.parametrize(("n", "percent"), [(4, 85), (5, 80), (1, 50)])
-def test_join_equals_brute_force(spark, monkeypatch, n, percent):
-    monkeypatch.setattr(ngram_join, "BLOCK", 7)  # large groups go in blocks
-    texts = [None, "", " \n", "One two", "one  TWO", "a b c d", "a b c d e", "x " * 5000]
+@pytest.mark.parametrize("most", [ngram_join.MOST, 7])
+def test_join_equals_brute_force(spark, n, percent, most):
+    morse = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(2048)) for flip in (0, 1)]
+    texts = [*morse, None, "", " \n", "One two", "one  TWO", "a b c d", "a b c d e", "x " * 5000]
     for seed, (size, words, edits) in enumerate([(25, 120, 8), (25, 40, 3), (10, 14, 1), (8, 700, 30), (12, 7, 1), (6, 3000, 90)]):
         texts += family(seed, size, words, edits)
     passage = " ".join(f"p{k}" for k in range(60))
@@ -64,10 +65,27 @@ def test_join_equals_brute_force(spark, monkeypatch, n, percent):
     rows = [(3 * k + 5, t) for k, t in enumerate(texts)]
     random.Random(9).shuffle(rows)
     want, links = brute(rows, n, percent)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_classes(frame(spark, rows), n, percent).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_classes(frame(spark, rows), n, percent, most=most).collect()}
     assert got == want and len(links) > 50
 
 
+def test_sets_that_share_a_passage_make_few_pairs(spark, monkeypatch):
+    """Long documents with one passage in common share signatures, but next to no pair of them is verified."""
+    rnd, passage = random.Random(3), " ".join(f"p{k}" for k in range(120))
+    rows = [(k, " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(700)) + f" {passage} " + " ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(700))) for k in range(150)]
+    rows += [(1000 + k, rows[5][1] + " more" * k) for k in range(1, 40)]
+    pairs, verified = [], ngram_join._verified
+
+    def counted(got, *rest):
+        got = got.cache()
+        pairs.append(got.count())
+        return verified(got, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", counted)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.similar_classes(frame(spark, rows)).collect()}
+    assert got == {k: 5 if k > 1000 else k for k, _ in rows} and sum(pairs) < 200
+
+
 def test_signatures_are_shared_by_all_similar_sets():
     rnd = np.random.default_rng(4)
     for percent in (80, 85):
@@ -87,9 +105,9 @@ def test_sketch_never_exceeds_the_difference():
     rnd = np.random.default_rng(5)
     for _ in range(50):
         a, b = (rnd.integers(0, 2**63, rnd.integers(0, 900)).astype(np.uint64) for _ in "ab")
-        bits = [np.frombuffer(ngram_join.sketch(x), np.uint64) for x in (a, np.concatenate([a, b]))]
-        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(b)
-        assert ngram_join.sketch_distance(ngram_join.wide_sketch(a), ngram_join.wide_sketch(np.concatenate([a, b]))) <= len(b)
+        own = ngram_join.Sketches([ngram_join.sketch(x) for x in (a, np.concatenate([a, b]))])
+        assert own.distances(np.array([0, 1]), np.array([1, 0])).tolist() == 2 * [own.distances(np.array([0]), np.array([1]))[0]]
+        assert own.distances(np.array([0]), np.array([1]))[0] <= len(b)
 
 
 def test_null_ids_and_repeats(spark):
