@@ -70,7 +70,7 @@ def _features(shapes: bool):
                 doc, code = _codes(data, offsets, shapes)
                 both = np.unique(doc << BITS | code)
                 rows += [x.astype("<i4").tobytes() for x in np.split(both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(1, b - a)))]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("y")), pa.array(rows, pa.binary())], names=["y", "codes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in ("label_id", "y")), pa.array(rows, pa.binary())], names=["label_id", "y", "codes"])
 
     return run
 
@@ -126,27 +126,43 @@ class _Adam:
         return self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.99**self.t)) + 1e-8)
 
 
-def fit_nnpu(sample: Sample, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def nnpu_risk(z: np.ndarray, positive: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """Of scores z of positive and unlabelled rows: prior * R(positives as 1); R(unlabelled as 0) - prior *
+    R(positives as 0), which is the negatives' part and may fall below zero; and the gradients of both by z."""
+    unl = ~positive
+    n_pos, n_unl = max(1, positive.sum()), max(1, unl.sum())
+    p = _sigmoid(z)
+    as_1 = prior * np.logaddexp(0, -z)[positive].sum() / n_pos
+    as_0 = np.logaddexp(0, z)  # of a row taken as 0
+    rest = as_0[unl].sum() / n_unl - prior * as_0[positive].sum() / n_pos
+    return float(as_1), float(rest), np.where(positive, prior * (p - 1) / n_pos, 0), np.where(unl, p / n_unl, -prior * p / n_pos)
+
+
+def estimated_prior(scores: np.ndarray, positive: np.ndarray, least: float = 0.2) -> float:
+    """The class prior from scores of rows that weren't learnt from: no more than prior * P(score > t | positive)
+    of unlabelled rows can lie above t for being positive, so the least ratio of both shares, the first with a
+    standard error added, bounds the prior; t leaves at least a ``least`` share of positives above."""
+    p, u = np.sort(scores[positive])[::-1], np.sort(scores[~positive])
+    if not len(p) or not len(u):
+        return 0.5
+    k = np.arange(max(1, int(np.ceil(least * len(p)))), len(p) + 1)
+    above_p, above_u = k / len(p), 1 - np.searchsorted(u, p[k - 1], side="left") / len(u)
+    high = above_u + np.sqrt(above_u * (1 - above_u) / len(u)) + 1 / len(u)
+    return float(np.clip((high / above_p).min(), 0.001, 0.95))
+
+
+def fit_nnpu(sample: Sample, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 0.2) -> tuple[np.ndarray, float]:
     """Weights and intercept by the non-negative positive-unlabelled risk. sample.y: 1 confirmed, 0 unlabelled.
 
     Risk: prior * R(positives as 1) + max(0, R(unlabelled as 0) - prior * R(positives as 0)), logistic
     loss. Where the second part is below zero, the step goes against its gradient instead of along the
     risk's. ``decay``: share of the weights taken off at a step, in units of the rate.
     """
-    pos, unl = sample.y == 1, sample.y == 0
-    n_pos, n_unl = max(1, pos.sum()), max(1, unl.sum())
     w, b = np.zeros(len(sample.used)), float(np.log(prior / (1 - prior)))
     adam = _Adam(len(w) + 1, rate)
     for _ in range(steps):
-        z = sample.scores(w) + b
-        p = _sigmoid(z)
-        loss0 = np.logaddexp(0, z)  # of a row taken as 0
-        rest = loss0[unl].sum() / n_unl - prior * loss0[pos].sum() / n_pos
-        as_0 = np.where(unl, p / n_unl, -prior * p / n_pos)
-        if rest >= 0:
-            by_row = as_0 + np.where(pos, prior * (p - 1) / n_pos, 0)
-        else:
-            by_row = -as_0
+        _, rest, as_1, as_0 = nnpu_risk(sample.scores(w) + b, sample.y == 1, prior)
+        by_row = as_1 + as_0 if rest >= 0 else -as_0
         move = adam.step(np.append(sample.gradient(by_row), by_row.sum()))
         w -= move[:-1]
         b -= move[-1]
@@ -154,6 +170,17 @@ def fit_nnpu(sample: Sample, prior: float, steps: int = 400, rate: float = 0.05,
     return w, b
 
 
+def ordinal_loss(z: np.ndarray, cuts: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative log-likelihood of grades y, P(grade > k) = sigmoid(z - cuts[k]), and its gradients by z and cuts."""
+    tail = np.concatenate([np.ones((len(y), 1)), _sigmoid(z[:, None] - cuts), np.zeros((len(y), 1))], axis=1)
+    slope = tail * (1 - tail)
+    rows = np.arange(len(y))
+    chance = np.maximum(tail[rows, y] - tail[rows, y + 1], 1e-12)
+    by_row = -(slope[rows, y] - slope[rows, y + 1]) / chance / len(y)
+    by_cut = np.array([((slope[:, k + 1] / chance)[y == k + 1].sum() - (slope[:, k + 1] / chance)[y == k].sum()) / len(y) for k in range(len(cuts))])
+    return float(-np.log(chance).mean()), by_row, by_cut
+
+
 def fit_ordinal(sample: Sample, grades: int, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ordered thresholds of the cumulative logit link: P(grade > k) = sigmoid(z - threshold k).
 
@@ -167,15 +194,7 @@ def fit_ordinal(sample: Sample, grades: int, steps: int = 400, rate: float = 0.0
     adam = _Adam(len(w) + grades - 1, rate)
     for _ in range(steps):
         cuts = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
-        z = sample.scores(w)
-        tail = np.concatenate([np.ones((len(y), 1)), _sigmoid(z[:, None] - cuts), np.zeros((len(y), 1))], axis=1)
-        slope = tail * (1 - tail)
-        rows = np.arange(len(y))
-        chance = np.maximum(tail[rows, y] - tail[rows, y + 1], 1e-12)
-        by_row = -(slope[rows, y] - slope[rows, y + 1]) / chance / len(y)
-        by_cut = np.zeros(grades - 1)
-        for k in range(grades - 1):
-            by_cut[k] = ((slope[:, k + 1] / chance)[y == k + 1].sum() - (slope[:, k + 1] / chance)[y == k].sum()) / len(y)
+        _, by_row, by_cut = ordinal_loss(sample.scores(w), cuts, y)
         by_gap = np.array([by_cut[k + 1 :].sum() * np.exp(gaps[k]) for k in range(grades - 2)])
         move = adam.step(np.concatenate([sample.gradient(by_row), [by_cut.sum()], by_gap]))
         w -= move[: len(w)]
@@ -186,10 +205,12 @@ def fit_ordinal(sample: Sample, grades: int, steps: int = 400, rate: float = 0.0
 
 
 def _sampled(docs: DataFrame, known: DataFrame, most: int, shapes: bool, doc_id: str, text: str) -> tuple[list[bytes], list[int]]:
-    """Features of the ``most`` documents of known (label_id, y) of least hash: bounded, so they are broadcast to the texts."""
+    """Features of the ``most`` documents of known (label_id, y) of least hash, by that hash: bounded, so they are
+    broadcast to the texts. Of several texts with one id the one of least features counts."""
     some = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     rows = docs.select(F.col(doc_id).cast("long").alias("label_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), "label_id").select("label_id", "y", "text")
-    got = rows.select("y", "text").mapInArrow(_features(shapes), "y int, codes binary").collect()  # most rows, but for repeated ids
+    made = rows.mapInArrow(_features(shapes), "label_id long, y int, codes binary").groupBy("label_id").agg(F.max("y").alias("y"), F.min("codes").alias("codes"))
+    got = sorted(made.collect(), key=lambda r: r["label_id"])  # most rows
     return [bytes(r["codes"]) for r in got], [r["y"] for r in got]
 
 
@@ -227,44 +248,54 @@ def _labelled(docs: DataFrame, labels: DataFrame, doc_id: str, grade: Column) ->
     return written(own.groupBy("label_id").agg(F.max("y").alias("y")).join(ids, "label_id", "left_semi"), "labelled")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, prior: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs, by non-negative positive-unlabelled learning.
 
     Learns only from rows whose crc32 of doc_id as text isn't a multiple of 5: at most
-    ``most_positive`` with toxic = 1 (confirmed), and at most ``most_unlabelled`` of the labelled rows,
-    toxic or not, as unlabelled text; the class prior is the share of toxic among all labelled rows to
-    learn from. Scores come from whole texts alone; null and empty ones get the intercept's. Without
+    ``most_positive`` with toxic = 1 (confirmed), and at most ``most_unlabelled`` of all documents, with
+    or without a label, as unlabelled text. No label of a document that isn't toxic is used. The class
+    prior, unless given, is estimated from a quarter of this sample that a first fit leaves out. Scores come from whole texts alone; null and empty ones get the intercept's. Without
     toxic rows to learn from, every score is 0; labels that are null don't count. Repeated rows give
     repeated results; null doc_ids aren't held out and have no label. Extra columns are not read.
     """
-    model = _toxicity_model(docs, labels, most_positive, most_unlabelled, doc_id, text)
+    model = _toxicity_model(docs, labels, most_positive, most_unlabelled, prior, doc_id, text)
     if model is None:
         return docs.select(F.col(doc_id).cast("long").alias("doc_id")).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     score = 1 / (1 + F.exp(-(F.col("z") + F.lit(model[1]))))
     return _raw(docs, model[0], False, doc_id, text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, most_positive: int = 4000, most_unlabelled: int = 8000, prior: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that toxicity() doesn't predict to be toxic."""
-    model = _toxicity_model(docs, labels, most_positive, most_unlabelled, doc_id, text)
+    model = _toxicity_model(docs, labels, most_positive, most_unlabelled, prior, doc_id, text)
     if model is None:
         return docs
     (z,) = free_names(docs, "z")
     return _raw(docs, model[0], False, doc_id, text, carry=z).filter(F.col(z) + F.lit(model[1]) < 0).drop(z)
 
 
-def _toxicity_model(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, doc_id: str, text: str) -> tuple[np.ndarray, float] | None:
-    known = _labelled(docs, labels, doc_id, F.col("toxic"))
-    total, toxic = known.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not toxic:
+def _toxicity_model(docs: DataFrame, labels: DataFrame, most_positive: int, most_unlabelled: int, prior: float | None, doc_id: str, text: str) -> tuple[np.ndarray, float] | None:
+    known = _labelled(docs, labels, doc_id, F.col("toxic")).filter("y = 1")
+    a, _ = _sampled(docs, known, most_positive, False, doc_id, text)
+    if not a:
         return None
-    a, _ = _sampled(docs, known.filter("y = 1"), most_positive, False, doc_id, text)
-    b, _ = _sampled(docs, known, most_unlabelled, False, doc_id, text)
-    sample = Sample(a + b, [1] * len(a) + [0] * len(b))
-    w, c = fit_nnpu(sample, min(0.95, max(0.001, toxic / total)))
+    ids = docs.select(F.col(doc_id).cast("long").alias("label_id")).filter("label_id is not null").filter(~held_out(F.col("label_id"))).distinct()
+    b, _ = _sampled(docs, ids.withColumn("y", F.lit(0)), most_unlabelled, False, doc_id, text)
+    codes, y = a + b, np.array([1] * len(a) + [0] * len(b))
+    if prior is None:
+        aside = np.arange(len(y)) % 4 == 0
+        first = Sample([x for x, out in zip(codes, aside, strict=True) if not out], y[~aside].tolist())
+        w, c = fit_nnpu(first, 0.1)
+        prior = estimated_prior(_scored([x for x, out in zip(codes, aside, strict=True) if out], first.spread(w)), y[aside] == 1)
+    sample = Sample(codes, y.tolist())
+    w, c = fit_nnpu(sample, prior)
     return sample.spread(w), float(c)
 
 
+def _scored(codes: list[bytes], weights: np.ndarray) -> np.ndarray:
+    return np.array([weights[np.frombuffer(x, "<i4")].sum() for x in codes])
+
+
 def quality(docs: DataFrame, labels: DataFrame, grade: Column | None = None, grades: int = 3, keep_grade: int = 1, most: int = 12000, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability (of keep_grade or better), kept (0.5 or more).
 
