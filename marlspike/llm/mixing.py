@@ -3,10 +3,9 @@
 Sources share all words by weight; a source stops at ``epochs`` times its own words and what it
 leaves is shared again, by weight, until none is above. A source's documents then repeat as often as
 its target holds its words, and what is left of the target is filled with whole documents in a seeded
-order while they fit; into the gap then goes the one other document whose size is nearest to it, if
-that comes nearer to the target. With ``refill``, documents that don't fit are passed over and the fill
-goes on behind them until none fits. The order is cut into buckets; only the buckets where a source's
-target ends are sorted.
+order: each that still fits, until none does. Into the gap then goes the one other document whose size
+is nearest to it, if that comes nearer to the target. The order is cut into buckets; only the buckets
+where a source's target ends, or its gap is filled, are sorted.
 """
 
 from __future__ import annotations
@@ -50,17 +49,14 @@ def water_fill(sources: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs:
     return weighed.withColumn("target", target)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", size: Column | None = None, refill: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", size: Column | None = None) -> DataFrame:
     """doc_id, size, source_size, target (its source's), taken, repeats for every row of docs.
 
     ``size``: the words of the text (null: 0) unless given. taken = size * repeats; repeats is at most
     ``epochs``. Null sources are one source. Documents without words repeat as often as their source
     does wholly. The order is by md5 of seed and doc_id, then size: reruns and other splits agree.
     Repeated rows are documents of their own. No documents: no rows. Extra columns are not read.
-
-    Without ``refill`` (the rule of this module's SQL) a source's fill ends at its first document that
-    doesn't fit, so one very long document there leaves a large gap. With it, every later document that
-    still fits is taken: what is missing is then less than any document left out.
+    What a source misses is less than any of its documents that are left out.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), (size if size is not None else word_count(F.col(text))).alias("size"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("h", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))), "sizes")
@@ -82,8 +78,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3,
     upto = Window.partitionBy("s", "b").orderBy("h", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
     cut = known.filter(edge).withColumn("more", F.when((F.col("size") > 0) & (F.col("before") + F.sum("size").over(upto) <= F.col("rest")), 1).otherwise(0))
     dealt = written(clear.unionByName(cut).select("doc_id", "row", "h", "s", "size", "words", "target", "whole", "rest", "more"), "dealt")
-    if refill:
-        dealt = _refilled(dealt, bucket)
+    dealt = _refilled(dealt, bucket)
     gaps = dealt.groupBy("s").agg((F.first("rest") - F.sum(F.col("size") * F.col("more"))).alias("gap")).filter("gap > 0").withColumnRenamed("s", "g")
     off = F.abs(F.col("size") - F.col("gap"))
     last = dealt.filter("more = 0 and size > 0").join(gaps, F.col("s").eqNullSafe(F.col("g"))).filter(off < F.col("gap")).groupBy("g").agg(F.min(F.struct(off.alias("off"), "h", "size", "row")).alias("pick")).select(F.col("pick.row").alias("row"), F.lit(1).alias("last"))
@@ -138,18 +133,18 @@ def _refilled(dealt: DataFrame, bucket: Column) -> DataFrame:
 BROADCAST_ROWS = 200_000
 
 
-def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", refill: bool = False) -> DataFrame:
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), epochs: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of docs, with all their columns, each as often as mix() repeats it; rows of one doc_id as
     often as the most repeated of them."""
     key, repeats, copy = free_names(docs, "_id", "_repeats", "_copy")
-    dealt = written(mix(docs, weights, epochs, seed, doc_id, text, source, refill=refill).groupBy(F.col("doc_id").alias(key)).agg(F.max("repeats").alias(repeats)).filter(F.col(repeats) > 0), "repeats")
+    dealt = written(mix(docs, weights, epochs, seed, doc_id, text, source).groupBy(F.col("doc_id").alias(key)).agg(F.max("repeats").alias(repeats)).filter(F.col(repeats) > 0), "repeats")
     small = dealt.count() <= BROADCAST_ROWS
     rows = docs.join(F.broadcast(dealt) if small else dealt, F.col(doc_id).cast("long").eqNullSafe(F.col(key)))
     return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), repeats))).drop(key, repeats, copy)
 
 
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5('mix' || coalesce(doc_id::VARCHAR, 'null')) AS h
   FROM documents),
@@ -169,10 +164,18 @@ p AS (
   SELECT *, CASE WHEN words > 0 THEN least(floor(target / words), 3) ELSE 0 END::BIGINT AS whole FROM t),
 r AS (
   SELECT doc_id, d.source, h, size, words, target, whole, CASE WHEN whole < 3 THEN target - whole * words ELSE 0 END AS rest,
-         sum(size) OVER (PARTITION BY d.source ORDER BY h, size ROWS UNBOUNDED PRECEDING) AS upto
+         row_number() OVER (PARTITION BY d.source, size > 0 ORDER BY h, size) AS place
   FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-m AS (SELECT *, CASE WHEN size > 0 AND upto <= rest THEN 1 ELSE 0 END AS more FROM r),
-g AS (SELECT *, rest - sum(size * more) OVER (PARTITION BY source) AS gap FROM m),
+f AS (
+  SELECT source, 0::BIGINT AS place, max(rest) AS room, 0 AS took FROM r GROUP BY source
+  UNION ALL
+  SELECT f.source, r.place, f.room - CASE WHEN r.size <= f.room THEN r.size ELSE 0 END, CASE WHEN r.size <= f.room THEN 1 ELSE 0 END
+  FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source AND r.place = f.place + 1 AND r.size > 0),
+e AS (SELECT source, min(room) AS gap FROM f GROUP BY source),
+g AS (
+  SELECT r.*, CASE WHEN r.size > 0 THEN f.took ELSE 0 END AS more, e.gap
+  FROM r JOIN e ON r.source IS NOT DISTINCT FROM e.source
+  LEFT JOIN f ON r.source IS NOT DISTINCT FROM f.source AND r.place = f.place),
 k AS (
   SELECT *, CASE WHEN more = 0 AND size > 0 AND abs(size - gap) < gap THEN 1 ELSE 0 END AS fits FROM g),
 n AS (
