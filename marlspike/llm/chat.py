@@ -42,6 +42,16 @@ def unescaped(text: Column, template: Template = DEFAULT) -> Column:
     return F.regexp_replace(text, rf"([{template.openers}])(\\*)\\(?=(?:{'|'.join(template.rests)}))", "$1$2")
 
 
+def _line(role: Column) -> Column:
+    """A role on one line: backslashes doubled, line ends as \\n."""
+    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+
+
+def _unline(role: Column) -> Column:
+    parts = F.split(role, r"\\\\")
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
+
+
 def formatted(turns: DataFrame, template: Template = DEFAULT, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row for each conversation: conv_id, valid, segments, formatted, loss_spans.
 
@@ -59,7 +69,7 @@ def formatted(turns: DataFrame, template: Template = DEFAULT, conv_id: str = "co
 
     def pick(x: Column, k: int) -> Column:
         kind = "boolean" if k == 2 else "string"
-        first = F.concat(F.lit(template.other[0]), escaped(x["role"], template), F.lit("\n")) if k == 0 else F.lit(template.other[k])
+        first = F.concat(F.lit(template.other[0]), escaped(_line(x["role"]), template), F.lit("\n")) if k == 0 else F.lit(template.other[k])
         out = None
         for name, marks in template.turns.items():
             out = F.when(x["role"] == name, F.lit(marks[k])) if out is None else out.when(x["role"] == name, F.lit(marks[k]))
@@ -101,7 +111,7 @@ def read_turns(text: Column, template: Template = DEFAULT) -> Column:
         before, after, _ = template.other
         inner = F.substr(x, F.lit(len(before) + 1), F.length(x) - len(before) - len(after))
         line = F.instr(inner, "\n")
-        name = name.otherwise(unescaped(F.substr(inner, F.lit(1), line - 1), template))
+        name = name.otherwise(_unline(unescaped(F.substr(inner, F.lit(1), line - 1), template)))
         body = body.otherwise(F.substr(inner, line + 1))
         return F.struct(name.alias("role"), unescaped(body, template).alias("text"))
 
@@ -132,7 +142,9 @@ WITH c AS (
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
   SELECT *, length(t) + len(regexp_extract_all(t, '[<\[]\\*(?:/?s>|</?SYS>>|/?INST\]|/?ROLE\])'))
-           + CASE r WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 17 + length(r) END AS n,
+           + CASE r WHEN 'system' THEN 15 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7
+             ELSE 17 + length(replace(replace(r, '\', '\\'), chr(10), '\n'))
+                  + len(regexp_extract_all(replace(replace(r, '\', '\\'), chr(10), '\n'), '[<\[]\\*(?:/?s>|</?SYS>>|/?INST\]|/?ROLE\])')) END AS n,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS k,
          lag(r) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, t) AS prev
   FROM c),
