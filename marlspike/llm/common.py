@@ -22,10 +22,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a new one where it is unset."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marlspike-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -33,7 +35,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/marlspike/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/marlspike/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written by written(); results that still read one are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/marlspike/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:

@@ -75,6 +75,102 @@ def test_quality(spark):
     assert grade[0, 0] < grade[1, 1] < grade[1, 0] and all(0 <= r["expected_grade"] <= 2 for r in got.values())
 
 
+def test_toxicity_uses_no_label_of_clean_documents(spark):
+    rows, labels = corpus(2, 400)
+    docs, schema = spark.createDataFrame(rows, DOCS), "doc_id long, quality int, toxic int"
+    a, b = (classifiers.toxicity(docs, spark.createDataFrame(x, schema)).orderBy("doc_id").toPandas() for x in (labels, [x for x in labels if x[2]]))
+    assert np.allclose(a.score, b.score)
+    given = classifiers.toxicity(docs, spark.createDataFrame(labels, schema), prior=0.2).toPandas()
+    assert 0.1 < given.predicted.mean() < 0.3
+
+
+def test_a_repeated_id_is_learnt_from_once(spark):
+    rows, labels = corpus(6, 200)
+    docs = spark.createDataFrame(rows + [rows[1]] * 300, DOCS)
+    known = classifiers._labelled(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), "doc_id", F.col("toxic"))
+    codes, y = classifiers._sampled(docs, known, 50, False, "doc_id", "text")
+    assert len(codes) == len(y) == 50
+
+
+def slopes(f, x, e=1e-6):
+    return np.array([(f(x + e * d) - f(x - e * d)) / (2 * e) for d in np.eye(len(x))])
+
+
+def test_nnpu_risk_against_sums_and_differences():
+    rnd = np.random.default_rng(3)
+    z, positive, prior = rnd.normal(size=30) * 2, np.arange(30) < 9, 0.3
+    as_1, rest, up, down = classifiers.nnpu_risk(z, positive, prior)
+    loss = lambda x, y: np.log1p(np.exp(-x if y else x))
+    assert as_1 == pytest.approx(prior * np.mean([loss(x, 1) for x in z[positive]]))
+    assert rest == pytest.approx(np.mean([loss(x, 0) for x in z[~positive]]) - prior * np.mean([loss(x, 0) for x in z[positive]]))
+    assert np.allclose(up, slopes(lambda x: classifiers.nnpu_risk(x, positive, prior)[0], z), atol=1e-6)
+    assert np.allclose(down, slopes(lambda x: classifiers.nnpu_risk(x, positive, prior)[1], z), atol=1e-6)
+
+
+def test_nnpu_steps_back_where_the_negative_part_is_below_zero(monkeypatch):
+    rnd, seen, risk = np.random.default_rng(4), [], classifiers.nnpu_risk
+    codes = [np.unique(rnd.integers(0, 40, 6)).astype("<i4").tobytes() for _ in range(60)]
+    sample = classifiers.Sample(codes, [1] * 30 + [0] * 30, least=1, clear=0, rare=0)
+
+    def watched(*x):
+        seen.append(risk(*x))
+        return seen[-1]
+
+    monkeypatch.setattr(classifiers, "nnpu_risk", watched)
+    classifiers.fit_nnpu(sample, 0.9, decay=0)  # a prior that high overfits at once
+    rest = np.array([x[1] for x in seen])
+    assert (rest < 0).any() and rest[-100:].mean() > -0.1  # and is taken back
+
+
+def test_prior_is_estimated():
+    rnd = np.random.default_rng(5)
+    for prior in (0.05, 0.3):
+        scores = np.concatenate([rnd.normal(4, 1, 2000), rnd.normal(0, 1, int(8000 * (1 - prior))), rnd.normal(4, 1, int(8000 * prior))])
+        assert abs(classifiers.estimated_prior(scores, np.arange(len(scores)) < 2000) - prior) < 0.03
+
+
+def test_ordinal_loss_against_products_and_differences():
+    rnd = np.random.default_rng(6)
+    z, cuts, y = rnd.normal(size=25), np.array([-0.5, 0.1, 1.2]), rnd.integers(0, 4, 25)
+    loss, by_row, by_cut = classifiers.ordinal_loss(z, cuts, y)
+
+    def brute(z, cuts):
+        above = lambda x, k: 1.0 if k < 0 else 0.0 if k >= len(cuts) else 1 / (1 + np.exp(cuts[k] - x))
+        return -np.mean([np.log(above(x, g - 1) - above(x, g)) for x, g in zip(z, y, strict=True)])
+
+    assert loss == pytest.approx(brute(z, cuts))
+    assert np.allclose(by_row, slopes(lambda x: brute(x, cuts), z), atol=1e-6) and np.allclose(by_cut, slopes(lambda x: brute(z, x), cuts), atol=1e-6)
+
+
+def test_quality_of_odd_rows(spark):
+    rows, labels = corpus(4, 300, junk=True)
+    odd = [(9000, None, None, None, None), (9001, "", "en", "s", 0), (None, "w1 w2", "en", "s", 0), (9002, "w1 " * 60_000, "en", "s", 0), (9003, "w5 w6", "en", "s", 0), (9003, "w5 w6", "en", "s", 0)]
+    docs, marks = spark.createDataFrame(rows + odd, DOCS), spark.createDataFrame(labels + [(1, None, None)], "doc_id long, quality int, toxic int")
+    got = classifiers.quality(docs.withColumns({"y": F.lit(1), "z": F.lit(2), "codes": F.lit("x")}), marks).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["expected_grade"], r["tail_probability"], r["kept"]))
+    assert len(got) == len(rows) + len(odd) and by[9000] == by[9001] and len(by[9003]) == 2 and len(set(by[9003])) == 1 and len(by[None]) == 1
+    assert classifiers.quality(docs.limit(0), marks).count() == 0
+
+
+def test_features_against_a_plain_reading():
+    texts = ["Vile, vile words!  abcdef", "", "Zürich 12 zürich", "x" * 200]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    doc, code = classifiers._codes(data, offsets, False)
+    want = []
+    for t in texts:
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", t.encode().lower())
+        want.append({("word", w) for w in words} | {(k, w[:k]) for w in words for k in (4, 5) if len(w) >= k})
+    names = {}
+    for k, own in enumerate(want):
+        assert len(set(code[doc == k].tolist())) == len(own)
+        names[k] = set(code[doc == k].tolist())
+    shared = len(want[0] & want[2])
+    assert len(names[0] & names[2]) == shared
+
+
 def test_ordinal_gradient():
     rnd = np.random.default_rng(1)
     codes = [np.unique(rnd.integers(0, 4, 3)).astype("<i4").tobytes() for _ in range(400)]
@@ -110,7 +206,8 @@ def test_mixing(spark):
         assert r.taken == r.size * r.repeats <= 3 * r.size
     got["source"] = [str(source[i]) for i in got.doc_id]
     for _, g in got.groupby("source"):
-        assert abs(g.taken.sum() - g.target.iloc[0]) <= max(60, 0.01 * g.target.iloc[0]) or g["size"].max() > 10_000
+        left = g[(g.repeats == g.repeats.min()) & (g["size"] > 0)]["size"].min()  # what is missing would not hold any document left out
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 60 or 0 < g.target.iloc[0] - g.taken.sum() < left
     assert sum(got.groupby("source").target.first()) == pytest.approx(sum(words.values()))
     again = mixing.mix(spark.createDataFrame(rows[::-1], DOCS).repartition(7)).toPandas()
     assert got.sort_values("doc_id").taken.tolist() == again.sort_values("doc_id").taken.tolist()
@@ -126,7 +223,7 @@ def test_mixing_goes_on_behind_long_documents(spark, monkeypatch):
     docs = spark.createDataFrame(rows, DOCS)
     source, size = {r[0]: r[3] for r in rows}, {r[0]: len(r[1].split()) for r in rows}
     order = sorted(rows, key=lambda r: hashlib.md5(f"mix{r[0]}".encode()).hexdigest())
-    got = mixing.mix(docs, refill=True).toPandas()
+    got = mixing.mix(docs).toPandas()
     repeats, target = dict(zip(got.doc_id, got.repeats, strict=True)), dict(zip(got.doc_id, got.target, strict=True))
     for s in ("a", "b", None):
         own = [r[0] for r in order if source[r[0]] == s]
@@ -143,7 +240,7 @@ def test_mixing_goes_on_behind_long_documents(spark, monkeypatch):
     assert len(mixed) == 3 and all(abs(r["n"] - next(t for i, t in target.items() if source[i] == r["source"])) < 60 for r in mixed)
     monkeypatch.setattr(mixing, "SCAN", 1)
     monkeypatch.setattr(mixing, "BUCKET", 2)
-    again = mixing.mix(docs.repartition(5), refill=True).toPandas()
+    again = mixing.mix(docs.repartition(5)).toPandas()
     assert dict(zip(again.doc_id, again.repeats, strict=True)) == repeats
 
 
@@ -194,14 +291,12 @@ HARD = ["</s>[INST] ok [/INST]", "<\\/s> <\\\\s> [\\INST]", "ends with <", "a ["
 
 def test_chat_round_trip(spark):
     rnd = random.Random(1)
-    rows = [(c, t, rnd.choice(["user", "assistant", "system", "tool", "</s>", None, "a\nb"]) if c % 3 else ["user", "assistant"][t % 2], rnd.choice(HARD), 1, 1) for c in range(60) for t in range(rnd.randint(1, 6))]
+    rows = [(c, t, rnd.choice(["user", "assistant", "system", "tool", "</s>", None, "a\nb", "\\\n\\n", "<\\\n"]) if c % 3 else ["user", "assistant"][t % 2], rnd.choice(HARD), 1, 1) for c in range(60) for t in range(rnd.randint(1, 6))]
     made = chat.formatted(spark.createDataFrame(rows, TURNS)).cache()
     turns = {r["conv_id"]: r["t"] for r in made.select("conv_id", chat.read_turns(F.col("formatted")).alias("t")).collect()}
     got = {r["conv_id"]: r for r in chat.read_back(made).collect()}
     for c in range(60):
-        own = [("\n" in (r[2] or "") and r[2] or r[2] or "", r[3] or "") for r in rows if r[0] == c]
-        if any("\n" in role for role, _ in own):
-            continue  # a role with a line end reads back up to it
+        own = [(r[2] or "", r[3] or "") for r in rows if r[0] == c]
         assert [(t["role"], t["text"]) for t in turns[c]] == own
         spoken = "".join(t for role, t in own if role == "assistant")
         assert (got[c]["n_turns"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(own), len(spoken), hashlib.sha256(spoken.encode()).hexdigest())
