@@ -21,12 +21,14 @@ def prepare(spark: SparkSession) -> None:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written in the folder that spark.checkpoint.dir names and read again: what several later stages
-    share is computed once, and outlives any executor. Where the setting is unset, in a new folder."""
+    share is computed once, and outlives any executor. Where the setting is unset, in local mode, in a new folder."""
     spark = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="marlspike-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/marlspike/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/marlspike/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
