@@ -147,6 +147,11 @@ def by_id(catalog: DataFrame, key: str) -> DataFrame:
     return catalog.filter(F.col("id") == key)
 
 
+def by_ids(keys: DataFrame, catalog: DataFrame, key: str = "id") -> DataFrame:
+    """keys with the columns of the catalog row that each names; unknown ones have none and drop out."""
+    return keys.withColumnRenamed(key, "_key").join(catalog, F.col("_key") == F.col("id")).drop("_key")
+
+
 def rows_out(catalog: DataFrame) -> DataFrame:
     """The public columns of catalog rows."""
     return catalog.select("id", "generic_name", "brand_name", "aliases", "strength", F.col("strength_value").cast("double").alias("strength_value"), "strength_unit", "dosage_form", "route", "composition", "manufacturer", "combination_components", "codes", "source", "source_version", "canonical_name")

@@ -66,6 +66,11 @@ def status(confidence: Column, margin_ok: Column, settings: Settings = DEFAULTS)
     return F.when(~margin_ok, "REVIEW_REQUIRED").when(confidence >= settings.match_threshold, "HIGH_CONFIDENCE").when(confidence >= settings.low_confidence_threshold, "LOW_CONFIDENCE").otherwise("NO_MATCH")
 
 
+def status_counts(rows: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(doc, status, n): how many of a document's rows have each status."""
+    return rows.groupBy(doc, "status").agg(F.count("*").alias("n"))
+
+
 def corroborated(strength: Column, form: Column) -> Column:
     """Evidence beyond the name: an agreeing strength, or an equal form."""
     known = F.coalesce(form, F.lit("")) != ""

@@ -1,22 +1,23 @@
 """The registered queries of the engine's own operators, over whole tables, with SQL that computes the same.
 
-`part` plays the catalog: a name's second word is the generic, the whole name the brand, the type the
-form and the size the strength. Noisy queries are its names with characters exchanged.
+`part` plays the catalog: a name's second word is the generic, the whole name the brand, the size gives
+strength and form. Noisy queries are its names with characters exchanged or lost, strengths and forms.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..config import DEFAULTS
+from ..config import DEFAULTS, UNCLASSIFIED
 from ..functions import text as T
-from ..functions.vocabulary import CHARACTER_CONFUSIONS, FORMS, FREQUENCIES, MEAL_PHRASES, OPTICAL_PAIRS, STOPWORDS, UNITS
+from ..functions.vocabulary import AD_FRAGMENTS, CHARACTER_CONFUSIONS, CONTRACT_FORMS, CONTRACT_ROUTES, FORMS, FREQUENCIES, MEAL_PHRASES, OPTICAL_PAIRS, STOPWORDS, UNITS
 from ..operators import catalog as C
 from ..operators import contracts, extraction, layout, linkage
-from ..sources.providers import CuratedBrands, names_from, sync
+from ..sources.providers import CuratedBrands, ingredients_from, names_from, sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -180,12 +181,14 @@ def name_variants(spark, sf_dir):
 
 def part_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A record for each name of `part`."""
-    parts = _table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_type").alias("form"), F.min("p_size").alias("size"))
+    parts = _table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("k"), F.min("p_size").alias("size"))
+    form = F.element_at(F.array(F.lit("tablet"), F.lit("syrup"), F.lit(None)), (F.col("size") % 3 + 1).cast("int"))
     word = lambda n: F.element_at(F.split("p_name", " "), n)
     return parts.select(
         F.concat(F.lit("part:"), T.slug("p_name")).alias("external_id"), word(2).alias("generic_name"), F.when(F.col("k") % 4 > 0, F.col("p_name")).alias("brand_name"),
-        F.array(F.concat(word(1), F.lit("-"), word(2)), F.upper(word(1)), F.lit(" ")).alias("aliases"), F.col("size").cast("decimal(10,3)").alias("strength_value"), F.lit("mg").alias("strength_unit"),
-        F.lower("form").alias("dosage_form"), F.element_at(F.array(F.lit("legacy_manual"), F.lit("abdm"), F.lit("rxnorm")), (F.col("k") % 3 + 1).cast("int")).alias("source"), F.lit("v1").alias("source_version"),
+        F.array(F.when(F.col("k") % 2 == 0, F.concat(word(1), F.lit("-"), word(2))).otherwise(F.concat(word(1), F.lit(" plus"))), F.upper(word(1)), F.lit(" ")).alias("aliases"), F.col("size").cast("decimal(10,3)").alias("strength_value"), F.lit("mg").alias("strength_unit"),
+        form.alias("dosage_form"), F.element_at(F.array(F.lit("legacy_manual"), F.lit("abdm"), F.lit("rxnorm")), (F.col("k") % 3 + 1).cast("int")).alias("source"),
+        F.when(F.col("k") % 5 == 0, UNCLASSIFIED).otherwise("v1").alias("source_version"),
     )
 
 
@@ -195,11 +198,12 @@ def part_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL_SLUG = "coalesce(nullif(regexp_replace(regexp_replace(lower(trim({x})), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown')"
 _SQL_CATALOG = f"""
-raw AS (SELECT p_name, min(p_partkey) AS k, lower(min(p_type)) AS dosage_form, min(p_size) AS size FROM part GROUP BY p_name),
+raw AS (SELECT p_name, min(p_partkey) AS k, ['tablet', 'syrup', NULL][min(p_size) % 3 + 1] AS dosage_form, min(p_size) AS size FROM part GROUP BY p_name),
 rec AS (SELECT 'part:' || {_SQL_SLUG.format(x='p_name')} AS external_id, string_split(p_name, ' ')[2] AS generic_name,
   CASE WHEN k % 4 > 0 THEN p_name END AS brand_name,
-  list_sort(list_distinct([{_sql_normalize("string_split(p_name, ' ')[1] || '-' || string_split(p_name, ' ')[2]")}, {_sql_normalize("string_split(p_name, ' ')[1]")}])) AS aliases,
-  size::DOUBLE AS strength_value, 'mg' AS strength_unit, dosage_form, ['legacy_manual', 'abdm', 'rxnorm'][k % 3 + 1] AS source FROM raw),
+  list_sort(list_distinct([CASE WHEN k % 2 = 0 THEN {_sql_normalize("string_split(p_name, ' ')[1] || '-' || string_split(p_name, ' ')[2]")} ELSE string_split(p_name, ' ')[1] || ' plus' END, {_sql_normalize("string_split(p_name, ' ')[1]")}])) AS aliases,
+  size::DOUBLE AS strength_value, 'mg' AS strength_unit, dosage_form, ['legacy_manual', 'abdm', 'rxnorm'][k % 3 + 1] AS source,
+  CASE WHEN k % 5 = 0 THEN '{UNCLASSIFIED}' ELSE 'v1' END AS source_version FROM raw),
 cat AS (SELECT *, sha256(source || '|' || external_id) AS id, {_sql_normalize('generic_name')} AS canonical_name,
   lower(array_to_string(list_filter([trim(generic_name), trim(brand_name)] || aliases, lambda p: p IS NOT NULL AND p <> ''), ' ')) AS search_text,
   CASE source WHEN 'legacy_manual' THEN 0 WHEN 'abdm' THEN 1 ELSE 2 END AS priority, (brand_name IS NULL)::INT AS missing FROM rec),
@@ -287,8 +291,8 @@ def status_policy(spark, sf_dir):
 
 @query(f"""
 WITH {_SQL_CATALOG},
-q AS (SELECT DISTINCT generic_name AS g, s, f FROM cat, (SELECT unnest([NULL, 1, 5, 20]) AS s), (SELECT unnest([NULL, 'economy', 'promo']) AS f)),
-j AS (SELECT q.*, cat.*, s IS NOT NULL AND abs(strength_value - s) < 0.01 AS sm, f IS NULL OR f = dosage_form AS fm, count(*) OVER w AS n0, min(priority) OVER w AS top
+q AS (SELECT DISTINCT generic_name AS g, s, f FROM cat, (SELECT unnest([NULL, 1, 5, 20]) AS s), (SELECT unnest([NULL, 'tablet', 'syrup']) AS f)),
+j AS (SELECT q.*, cat.*, s IS NOT NULL AND abs(strength_value - s) < 0.01 AS sm, f IS NULL OR coalesce(f = dosage_form, true) AS fm, count(*) OVER w AS n0, min(priority) OVER w AS top
   FROM q JOIN cat ON generic_name = g WINDOW w AS (PARTITION BY g, s, f)),
 t AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (sm AND fm) OVER w AS nb, count(*) FILTER (sm) OVER w AS ns, count(*) FILTER (fm) OVER w AS nf
   FROM j WHERE n0 = 1 OR priority = top WINDOW w AS (PARTITION BY g, s, f))
@@ -299,7 +303,7 @@ FROM t WHERE CASE WHEN n = 1 THEN true WHEN s IS NOT NULL AND f IS NOT NULL AND
        WHEN s IS NULL AND f IS NOT NULL AND nf > 0 THEN fm ELSE true END""")
 def generic_disambiguation(spark, sf_dir):
     cat = part_catalog(spark, sf_dir)
-    asked = cat.select(F.col("generic_name").alias("g")).distinct().withColumn("s", F.explode(F.array(F.lit(None).cast("int"), F.lit(1), F.lit(5), F.lit(20)))).withColumn("f", F.explode(F.array(F.lit(None).cast("string"), F.lit("economy"), F.lit("promo"))))
+    asked = cat.select(F.col("generic_name").alias("g")).distinct().withColumn("s", F.explode(F.array(F.lit(None).cast("int"), F.lit(1), F.lit(5), F.lit(20)))).withColumn("f", F.explode(F.array(F.lit(None).cast("string"), F.lit("tablet"), F.lit("syrup"))))
     asked = asked.withColumns({"q_strength": T.strength(F.concat(F.col("s").cast("string"), F.lit("mg"))), "q_form": F.col("f"), "q": F.concat_ws("|", "g", F.coalesce(F.col("s").cast("string"), F.lit("-")), F.coalesce("f", F.lit("-")))})
     rows = asked.join(cat, F.col("g") == F.col("generic_name"))
     return linkage.disambiguate(rows).select("g", "s", "f", "id", F.col("unique").alias("is_unique"))
@@ -307,7 +311,7 @@ def generic_disambiguation(spark, sf_dir):
 
 @query(f"""
 WITH {_SQL_CATALOG}, t AS (SELECT p_partkey, p_name AS term, {_sql_normalize('p_name')} AS n FROM part),
-h AS (SELECT t.*, best.exact_id, CASE WHEN alias_id = exact_id THEN 'EXACT_ALIAS' WHEN {_sql_normalize('brand_name')} = n THEN 'EXACT_BRAND' END AS label FROM t JOIN best ON n = key JOIN cat ON cat.id = exact_id)
+h AS (SELECT t.*, best.exact_id, CASE WHEN alias_id = exact_id OR {_sql_normalize('brand_name')} = n THEN CASE WHEN source_version = '{UNCLASSIFIED}' THEN 'EXACT_CATALOG_NAME' WHEN alias_id = exact_id THEN 'EXACT_ALIAS' ELSE 'EXACT_BRAND' END END AS label FROM t JOIN best ON n = key JOIN cat ON cat.id = exact_id)
 SELECT p_partkey, term, 'EXACT' AS status, exact_id AS matched_id, label AS match_type, 100.0::DOUBLE AS confidence FROM h WHERE label IS NOT NULL""")
 def resolve_exact(spark, sf_dir):
     """Clean names: all end in the exact stage."""
@@ -316,8 +320,121 @@ def resolve_exact(spark, sf_dir):
 
 
 def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return parts.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.translate("p_name", "ol", "01")).otherwise(F.element_at(F.split("p_name", " "), 2)).alias("input_text"))
+    """A text for each row of `part`, by its key: clean, with exchanged or lost characters, with strength and form."""
+    name, size = F.col("p_name"), F.col("p_size").cast("string")
+    generic = F.element_at(F.split(name, " "), 2)
+    kinds = [name, F.translate(name, "ol", "01"), generic, F.concat(generic, F.lit(" "), size, F.lit("mg")), F.concat(name.substr(F.lit(2), F.length(name)), F.lit(" "), (F.col("p_size") % 4).cast("string"), F.lit("mg")), F.concat(name, F.lit(" "), size, F.lit(" mg tabs")), F.replace(name, F.lit("m"), F.lit("n")), F.concat(generic, F.lit("x syrup")), F.replace(generic, F.lit("i"), F.lit("1")), F.concat(F.lit("zq "), F.reverse(name))]
+    return _table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*kinds), (F.col("p_partkey") % len(kinds) + 1).cast("int")).alias("input_text"))
+
+
+_SQL_GENERIC = "string_split(p_name, ' ')[2]"
+_SQL_NOISY = f"""noisy AS (SELECT p_partkey, [p_name, translate(p_name, 'ol', '01'), {_SQL_GENERIC}, {_SQL_GENERIC} || ' ' || p_size || 'mg', substring(p_name, 2) || ' ' || (p_size % 4) || 'mg',
+  p_name || ' ' || p_size || ' mg tabs', replace(p_name, 'm', 'n'), {_SQL_GENERIC} || 'x syrup', replace({_SQL_GENERIC}, 'i', '1'), 'zq ' || reverse(p_name)][p_partkey % 10 + 1] AS input_text FROM part)"""
+
+
+def _sql_common(a: str, b: str) -> str:
+    """Length of the longest common subsequence, a bit for each character of a (120 at most)."""
+    full = f"((1::HUGEINT << length({a})::HUGEINT) - 1)"
+    masks = f"list_transform(string_split({b}, ''), lambda c: coalesce(list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substring({a}, i + 1, 1) = c THEN 1::HUGEINT << i::HUGEINT ELSE 0::HUGEINT END)), 0)::HUGEINT)"
+    return f"(length({a}) - bit_count(list_reduce({masks}, lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full}, {full})))"
+
+
+def _sql_ratio(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 100e0 ELSE 200e0 * {_sql_common(a, b)} / (length({a}) + length({b})) END"
+
+
+def _sql_partial(a: str, b: str) -> str:
+    def windows(s: str, l: str) -> str:
+        part = f"substring({l}, greatest(0, j) + 1, j + length({s}) - greatest(0, j))"
+        return f"list_max(list_transform(range(1 - length({s}), length({l})), lambda j: {_sql_ratio(s, part)}))"
+
+    return f"CASE WHEN least(length({a}), length({b})) = 0 THEN CASE WHEN length({a}) = length({b}) THEN 100e0 ELSE 0e0 END WHEN length({a}) <= length({b}) THEN {windows(a, b)} ELSE {windows(b, a)} END"
+
+
+# From terms (term) and cat: near (term, id, similarity, external_id, base), the candidates of each term and their scores.
+_SQL_NEAR = rf"""
+grams AS (SELECT DISTINCT s, substring('  ' || w || ' ', i, 3) AS gram FROM (
+  SELECT s, w, unnest(range(1, length(w) + 2)) AS i FROM (
+    SELECT s, unnest(list_filter(regexp_split_to_array(s, '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) AS w FROM (SELECT term AS s FROM terms UNION SELECT search_text FROM cat)))),
+sizes AS (SELECT s, count(*) AS n FROM grams GROUP BY s),
+shared AS (SELECT a.s AS term, cat.id, any_value(external_id) AS external_id, any_value(search_text) AS search_text, count(*) AS c FROM terms JOIN grams a ON a.s = term JOIN grams b ON a.gram = b.gram JOIN cat ON b.s = search_text GROUP BY ALL),
+alike AS (SELECT term, id, external_id, c / (x.n + y.n - c) AS similarity FROM shared JOIN sizes x ON x.s = term JOIN sizes y ON y.s = search_text),
+tops AS (SELECT * FROM alike WHERE similarity >= {DEFAULTS.min_trigram_similarity} QUALIFY row_number() OVER (PARTITION BY term ORDER BY similarity DESC, external_id) <= LIMIT_OF_TERM),
+named AS (SELECT tops.*, unnest([lower(brand_name), lower(generic_name)]) AS name FROM tops JOIN cat USING (id)),
+pairs AS (SELECT DISTINCT term AS a, name AS b FROM named WHERE name <> ''),
+split1 AS (SELECT *, list_filter(string_split(a, ' '), lambda w: w <> '') AS x, list_filter(string_split(b, ' '), lambda w: w <> '') AS y FROM pairs),
+split2 AS (SELECT *, array_to_string(list_sort(x), ' ') AS sa, array_to_string(list_sort(y), ' ') AS sb,
+  array_to_string(list_sort(list_filter(list_distinct(x), lambda w: list_contains(y, w))), ' ') AS common,
+  array_to_string(list_sort(list_filter(list_distinct(x), lambda w: NOT list_contains(y, w))), ' ') AS oa,
+  array_to_string(list_sort(list_filter(list_distinct(y), lambda w: NOT list_contains(x, w))), ' ') AS ob FROM split1),
+whole AS (SELECT *, greatest(length(a), length(b)) / least(length(a), length(b)) AS lengths, {_sql_ratio('a', 'b')} AS r0,
+  length(common) + (common <> '')::INT + length(oa) AS fa, length(common) + (common <> '')::INT + length(ob) AS fb FROM split2),
+token AS (SELECT *, CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0e0 WHEN common <> '' AND (oa = '' OR ob = '') THEN 100e0 ELSE greatest(100e0 - 100e0 * (length(oa) + length(ob) - 2 * {_sql_common('oa', 'ob')}) / (fa + fb),
+  CASE WHEN common <> '' THEN greatest(100e0 - 100e0 * (fa - length(common)) / (length(common) + fa), 100e0 - 100e0 * (fb - length(common)) / (length(common) + fb)) ELSE 0e0 END) END AS ts FROM whole),
+weighted AS (SELECT *, CASE WHEN lengths < 1.5 THEN greatest(r0, 0.95e0 * greatest({_sql_ratio('sa', 'sb')}, ts))
+  ELSE greatest(r0, (CASE WHEN lengths <= 8 THEN 0.9e0 ELSE 0.6e0 END) * {_sql_partial('a', 'b')},
+    0.95e0 * (CASE WHEN lengths <= 8 THEN 0.9e0 ELSE 0.6e0 END) * CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0e0 WHEN common <> '' THEN 100e0 ELSE greatest({_sql_partial('sa', 'sb')}, {_sql_partial('oa', 'ob')}) END) END AS wr FROM token),
+gapped AS (SELECT *, greatest(wr, ts) - CASE WHEN abs(length(a) - length(b)) >= 3 THEN 4 * abs(length(a) - length(b)) ELSE 0 END AS raw_score, least(4, length(a), length(b)) AS n FROM weighted),
+scores AS (SELECT a, b, greatest(0e0, least(100e0, CASE WHEN n > 0 AND substring(a, 1, n) = substring(b, 1, n) AND raw_score >= 70 THEN least(100e0, raw_score + 10) ELSE raw_score END)) AS base FROM gapped),
+near AS (SELECT term, id, similarity, external_id, max(base) AS base FROM named JOIN scores ON a = term AND b = name GROUP BY ALL)"""
+
+
+def _sql_label(stage: str) -> str:
+    """The label of a row of cat by its stage."""
+    kind = "CASE WHEN coalesce(brand_name, '') <> '' THEN 'BRAND' ELSE 'GENERIC' END"
+    known = {"alias": "'EXACT_ALIAS'", "brand": "'EXACT_BRAND'", "generic": "CASE WHEN source = 'rxnorm' THEN 'EXACT_GENERIC_RXNORM' ELSE 'EXACT_GENERIC' END", "ocr": f"'OCR_NORMALIZED_' || {kind}", "fuzzy": f"'FUZZY_' || {kind}"}
+    other = {"ocr": "OCR_NORMALIZED_CATALOG_NAME", "fuzzy": "FUZZY_CATALOG_NAME"}.get(stage, "EXACT_CATALOG_NAME")
+    return f"CASE WHEN source_version = '{UNCLASSIFIED}' THEN '{other}' ELSE {known[stage]} END"
+
+
+def _sql_resolve(strict: bool) -> str:
+    """All stages. The texts state one strength at most, and normalizing leaves it as it is."""
+    squeeze = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    stripped = squeeze.format(x=f"regexp_replace(q, '{_SQL_SINGLE}', ' ', 'g')")
+    name = squeeze.format(x=rf"regexp_replace({stripped}, '(?i)\b(?:{_FORM_WORDS})\b', ' ', 'g')")
+    strength_clash = "(sv IS NOT NULL AND NOT sm)"
+    clash = f"({strength_clash} OR NOT fm)" if strict else strength_clash
+    never = f"({strength_clash} OR NOT fm)" if strict else "false"
+    return f"""
+WITH {_SQL_CATALOG}, {_SQL_NOISY}, confused AS ({_CONFUSED}),
+norm AS (SELECT *, {_sql_normalize('input_text')} AS q FROM noisy),
+parsed AS (SELECT q, {_sql_number('q', _SQL_SINGLE, 1)} AS sv, nullif({_sql_unit('q', _SQL_SINGLE, 2)}, '') AS su,
+  list_filter(list_transform(regexp_extract_all(lower(q), '[a-z]+'), lambda w: {_SQL_FORMS}[w]), lambda f: f IS NOT NULL)[1] AS f, coalesce(nullif({name}, ''), q) AS name FROM (SELECT DISTINCT q FROM norm WHERE q <> '')),
+facts AS (SELECT parsed.*, cat.*, coalesce(su = strength_unit AND abs(strength_value - sv) < 0.01, false) AS sm, su = strength_unit AS same_unit, f IS NULL OR dosage_form IS NULL OR f = dosage_form AS fm FROM parsed CROSS JOIN cat),
+tries AS (SELECT q, 0 AS turn, q AS term FROM parsed UNION ALL SELECT q, 1, name FROM parsed WHERE name <> q),
+exacts AS (SELECT facts.q, turn, facts.id, {clash} AS clash, alias_id = exact_id AS by_alias, CASE WHEN alias_id = exact_id THEN {_sql_label('alias')} ELSE {_sql_label('brand')} END AS label
+  FROM tries JOIN best ON term = key JOIN facts ON facts.q = tries.q AND facts.id = exact_id WHERE coalesce(alias_id = exact_id, false) OR {_sql_normalize('brand_name')} = term),
+exact AS (SELECT q, CASE WHEN clash THEN 'REVIEW_REQUIRED' ELSE 'EXACT' END AS status, id, label, CASE WHEN clash THEN 70e0 ELSE 100e0 END AS confidence, 1 AS n FROM exacts QUALIFY row_number() OVER (PARTITION BY q ORDER BY turn) = 1),
+g0 AS (SELECT *, count(*) OVER (PARTITION BY q) AS n0, min(priority) OVER (PARTITION BY q) AS top FROM facts WHERE {_sql_normalize('name')} = lower(canonical_name) AND q NOT IN (SELECT q FROM exact)),
+g1 AS (SELECT *, count(*) OVER w AS n, count(*) FILTER (sm AND fm) OVER w AS nb, count(*) FILTER (sm) OVER w AS ns, count(*) FILTER (fm) OVER w AS nf FROM g0 WHERE n0 = 1 OR priority = top WINDOW w AS (PARTITION BY q)),
+g2 AS (SELECT *, NOT {never} AND CASE WHEN n = 1 THEN true WHEN sv IS NOT NULL AND f IS NOT NULL AND nb > 0 THEN nb = 1 WHEN sv IS NOT NULL AND ns > 0 THEN ns = 1 AND f IS NULL WHEN sv IS NULL AND f IS NOT NULL AND nf > 0 THEN nf = 1 ELSE false END AS is_unique
+  FROM g1 WHERE CASE WHEN n = 1 THEN true WHEN sv IS NOT NULL AND f IS NOT NULL AND nb > 0 THEN sm AND fm WHEN sv IS NOT NULL AND ns > 0 THEN sm WHEN sv IS NULL AND f IS NOT NULL AND nf > 0 THEN fm ELSE true END),
+g3 AS (SELECT *, {_sql_label('generic')} AS label, bool_and(is_unique) OVER (PARTITION BY q) AS every, count(*) OVER (PARTITION BY q) AS many FROM g2),
+generic AS (SELECT q, CASE WHEN every THEN 'EXACT' ELSE 'REVIEW_REQUIRED' END AS status, id, label, CASE WHEN is_unique THEN 100e0 ELSE 85e0 END AS confidence, many AS n FROM g3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY priority, missing, external_id) = 1),
+rest AS (SELECT q, name AS t FROM parsed WHERE q NOT IN (SELECT q FROM exact UNION SELECT q FROM generic)),
+opticals AS (SELECT q, unnest(range(len(v) - 1)) AS k, unnest(v[2:]) AS term FROM (SELECT q, {_OPTICALS} AS v FROM rest)),
+characters AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY i, k) AS k, substring(t, 1, i - 1) || b || substring(t, i + 1) AS term FROM (SELECT q, t, unnest(range(1, length(t) + 1)) AS i FROM rest) JOIN confused ON substring(t, i, 1) = a),
+variants AS (SELECT q, 0 AS part, 0 AS k, q AS term, 'fuzzy' AS stage FROM rest UNION ALL SELECT q, 0, 1, t, 'fuzzy' FROM rest WHERE t <> q
+  UNION ALL SELECT q, 1, k, term, 'ocr' FROM opticals UNION ALL SELECT q, 2, k, term, 'ocr' FROM characters),
+asked AS (SELECT q, row_number() OVER (PARTITION BY q ORDER BY part, k) AS turn, lower(trim(term)) AS term, stage FROM variants),
+met AS (SELECT asked.*, CASE WHEN stage = 'ocr' THEN exact_id END AS exact_id FROM asked LEFT JOIN best ON key = term WHERE term <> ''),
+terms AS (SELECT DISTINCT term FROM met WHERE exact_id IS NULL),{_SQL_NEAR.replace("LIMIT_OF_TERM", str(DEFAULTS.candidate_limit))},
+every AS (SELECT q, turn, stage, exact_id AS id, 100e0 AS base, 1e0 AS similarity, true AS verified FROM met WHERE exact_id IS NOT NULL
+  UNION ALL SELECT q, turn, stage, id, base, similarity, false FROM met JOIN near USING (term) WHERE exact_id IS NULL),
+judged AS (SELECT e.q, e.id, e.turn, e.similarity, external_id, verified AND NOT {never} AS verified,
+  CASE WHEN verified AND {never} THEN 70e0 WHEN verified THEN 100e0 ELSE greatest(0e0, least(100e0, base
+    + CASE WHEN sv IS NULL THEN 0e0 WHEN sm THEN {DEFAULTS.strength_match_bonus}e0 WHEN same_unit THEN -{DEFAULTS.strength_mismatch_penalty}e0 ELSE 0e0 END
+    + CASE WHEN fm THEN 0e0 ELSE -{DEFAULTS.form_mismatch_penalty}e0 END + CASE WHEN priority = 0 THEN {DEFAULTS.source_priority_bonus}e0 ELSE 0e0 END)) END AS score,
+  CASE WHEN stage = 'fuzzy' THEN {_sql_label('fuzzy')} ELSE {_sql_label('ocr')} END AS label, sm OR coalesce(f = dosage_form, false) AS sure FROM every e JOIN facts USING (q, id)),
+merged AS (SELECT q, id, any_value(external_id) AS external_id, arg_min(struct_pack(score := score, label := label), (NOT verified, -score, turn)) AS b, bool_or(verified) AS verified, min(turn) AS turn, max(similarity) AS similarity, bool_or(sure) AS sure FROM judged GROUP BY q, id),
+placed AS (SELECT *, CAST(printf('%.1f', b.score) AS DOUBLE) AS confidence, row_number() OVER (PARTITION BY q ORDER BY b.score DESC, turn, similarity DESC, external_id) AS place FROM merged),
+listed AS (SELECT q, count(*) AS n, max(id) FILTER (place = 1) AS id, max(b.label) FILTER (place = 1) AS label, max(confidence) FILTER (place = 1) AS confidence, max(confidence) FILTER (place = 2) AS second, bool_or(verified OR sure) FILTER (place = 1) AS backed
+  FROM placed WHERE place <= {DEFAULTS.candidate_limit} GROUP BY q),
+raw_fuzzy AS (SELECT *, CASE WHEN n > 1 AND confidence - second < {DEFAULTS.ambiguity_margin} THEN 'REVIEW_REQUIRED' WHEN confidence >= {DEFAULTS.match_threshold} THEN 'HIGH_CONFIDENCE' WHEN confidence >= {DEFAULTS.low_confidence_threshold} THEN 'LOW_CONFIDENCE' ELSE 'NO_MATCH' END AS st FROM listed),
+fuzzy AS (SELECT q, CASE WHEN st = 'HIGH_CONFIDENCE' AND NOT backed THEN 'REVIEW_REQUIRED' ELSE st END AS status, id, label, confidence, CASE WHEN st = 'NO_MATCH' THEN 0 ELSE n END AS n FROM raw_fuzzy),
+answers AS (SELECT * FROM exact UNION ALL SELECT * FROM generic UNION ALL SELECT * FROM fuzzy)
+SELECT p_partkey, input_text, coalesce(status, 'NO_MATCH') AS status, CASE WHEN status IN ('EXACT', 'HIGH_CONFIDENCE') THEN id END AS matched_id, CASE WHEN status IN ('EXACT', 'HIGH_CONFIDENCE') THEN label END AS match_type,
+  CASE WHEN status IN ('EXACT', 'HIGH_CONFIDENCE') THEN confidence END AS confidence, coalesce(n, 0)::INTEGER AS n_candidates FROM norm LEFT JOIN answers USING (q)"""
 
 
 def _resolved(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
@@ -325,24 +442,43 @@ def _resolved(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
     return found.select("p_partkey", "input_text", "status", "matched_id", "match_type", "confidence", F.size("candidates").alias("n_candidates"))
 
 
-@query()
+@query(_sql_resolve(False))
 def resolve_batch(spark, sf_dir):
-    """Every stage; edit ratios have no SQL, so the tests hold it against the scalar rules."""
+    """Every stage."""
     return _resolved(spark, sf_dir)
 
 
-@query()
+@query(_sql_resolve(True))
 def resolve_batch_strict(spark, sf_dir):
     return _resolved(spark, sf_dir, strict_strength=True, decimal_safe=True)
 
 
-@query()
+@query(f"""
+WITH {_SQL_CATALOG}, {_SQL_NOISY},
+t0 AS (SELECT DISTINCT input_text AS token, lower(trim(input_text)) AS t FROM noisy),
+hits AS (SELECT t0.*, exact_id, alias_id FROM t0 LEFT JOIN best ON t = key),
+made AS (SELECT token, unnest(range(len(v))) AS turn, unnest(v) AS term FROM (SELECT token, {_OPTICALS} AS v FROM hits WHERE exact_id IS NULL)),
+terms AS (SELECT DISTINCT lower(trim(term)) AS term FROM made),{_SQL_NEAR.replace("LIMIT_OF_TERM", str(DEFAULTS.candidate_limit))},
+ranked AS (SELECT token, turn, id, base, row_number() OVER (PARTITION BY token, turn ORDER BY base DESC, similarity DESC, external_id) AS place FROM made JOIN near USING (term)),
+two AS (SELECT token, turn, max(id) FILTER (place = 1) AS id, max(base) AS base, max(base) FILTER (place = 2) AS next FROM ranked WHERE place <= 2 GROUP BY ALL),
+raw_best AS (SELECT * FROM two WHERE turn = 0),
+variant AS (SELECT * FROM two WHERE turn > 0 QUALIFY row_number() OVER (PARTITION BY token ORDER BY base DESC, turn) = 1),
+picked AS (SELECT h.token, coalesce(r.base >= {DEFAULTS.match_threshold}, false) AS by_raw, coalesce(v.base >= {DEFAULTS.match_threshold}, false) AS by_variant, r.id AS rid, r.base AS rb, coalesce(r.base - r.next < {DEFAULTS.ambiguity_margin}, false) AS rc,
+  v.id AS vid, v.base AS vb, coalesce(v.base - v.next < {DEFAULTS.ambiguity_margin}, false) AS vc FROM hits h LEFT JOIN raw_best r USING (token) LEFT JOIN variant v USING (token) WHERE exact_id IS NULL)
+SELECT token, exact_id AS id, 100e0 AS confidence, CASE WHEN coalesce(alias_id = exact_id, false) THEN 'alias' ELSE 'exact' END AS match_type FROM hits WHERE exact_id IS NOT NULL
+UNION ALL SELECT token, CASE WHEN by_raw AND NOT rc THEN rid WHEN NOT by_raw AND by_variant AND NOT vc THEN vid END, coalesce(CASE WHEN by_raw THEN rb WHEN by_variant THEN vb END, rb, vb, 0e0),
+  CASE WHEN by_raw THEN CASE WHEN rc THEN 'ambiguous' ELSE 'fuzzy' END WHEN by_variant THEN CASE WHEN vc THEN 'ambiguous' ELSE 'ocr_corrected' END ELSE 'unresolved' END FROM picked""")
 def match_tokens(spark, sf_dir):
     tokens = _noisy(spark, sf_dir).select(F.col("input_text").alias("token")).distinct()
     return linkage.match_tokens(tokens, part_catalog(spark, sf_dir))
 
 
-@query()
+@query(f"""
+WITH {_SQL_CATALOG}, {_SQL_TERMS.replace('terms AS', 'given AS')},
+terms AS (SELECT DISTINCT lower(trim(term)) AS term FROM given WHERE trim(term) <> ''),{_SQL_NEAR.replace("LIMIT_OF_TERM", "10")},
+first_hits AS (SELECT term, exact_id AS id, 100e0 AS confidence, 1e0 AS similarity, CASE WHEN coalesce(alias_id = exact_id, false) THEN 'alias' ELSE 'exact' END AS match_type FROM terms JOIN best ON key = term),
+every AS (SELECT * FROM first_hits UNION ALL SELECT term, id, base, similarity, 'fuzzy' FROM near WHERE NOT EXISTS (FROM first_hits f WHERE f.term = near.term AND f.id = near.id))
+SELECT term, row_number() OVER (PARTITION BY term ORDER BY match_type = 'fuzzy', confidence DESC, similarity DESC, external_id)::INTEGER AS place, id, confidence, match_type FROM every JOIN cat USING (id) QUALIFY place <= 10""")
 def search_many(spark, sf_dir):
     return linkage.search_many(part_terms(spark, sf_dir).select("term").distinct(), part_catalog(spark, sf_dir))
 
@@ -360,19 +496,40 @@ def row_banding(spark, sf_dir):
     return layout.lines_of_words(layout.clean_words(words), doc="n_nationkey").select("n_nationkey", "line_no", "text", "x", "y", "width", "height", "min_confidence")
 
 
-_AD = "(horlicks|apollo247|apolloz4z|exclusiveoffer|1800-572|orderwia|whatsepp|upto 70% off|upto 25% off|free delivery|flat 15% cashback|free lab test|buy smart health|get free 1 year|shop now|order now|book now|home delivery|home sample|circle plan|page 1 of|page 2 of)"
+_AD = "(" + "|".join(re.escape(a).replace("\\ ", " ") for a in AD_FRAGMENTS) + ")"
+# An advertisement fragment goes after every ninth line, or none would occur.
+_SQL_LINES = f"""l0 AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE length(trim(text)) > 0),
+l AS (SELECT doc_id, line_no, CASE WHEN (doc_id + line_no) % 9 = 0 THEN line || ' ' || upper([{', '.join(f"'{a}'" for a in AD_FRAGMENTS)}][(doc_id + line_no) % {len(AD_FRAGMENTS)} + 1]) ELSE line END AS line FROM l0)"""
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = layout.text_lines(_table(spark, sf_dir, "documents"))
+    number = F.col("doc_id") + F.col("line_no")
+    fragment = F.element_at(F.array(*map(F.lit, AD_FRAGMENTS)), (number % len(AD_FRAGMENTS) + 1).cast("int"))
+    return lines.withColumn("text", F.when(number % 9 == 0, F.concat("text", F.lit(" "), F.upper(fragment))).otherwise(F.col("text")))
 
 
 @query(rf"""
-WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE length(trim(text)) > 0),
+WITH {_SQL_LINES},
 f AS (SELECT *, regexp_matches(lower(line), '{_AD}') AS ad, regexp_matches(lower(line), '( rx|rx |r/|treatment|medicine|medication|adv)') OR regexp_matches(lower(line), '(^|[^\p{{L}}\p{{N}}_])(tab|cap|syp|inj|ointment)($|[^\p{{L}}\p{{N}}_])') OR regexp_matches(lower(line), '(^|[^\p{{L}}\p{{N}}_])[0-9]+\s*(mg|ml|mcg)($|[^\p{{L}}\p{{N}}_])') AS hit FROM l),
 s AS (SELECT *, max((hit AND NOT ad)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) = 1 AS inside, max((hit AND NOT ad)::INT) OVER (PARTITION BY doc_id) = 1 AS opened FROM f)
 SELECT doc_id, CASE WHEN NOT opened THEN 'medicine' WHEN ad THEN 'ad' WHEN inside THEN 'medicine' ELSE 'patient' END AS section, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM s GROUP BY ALL""")
 def section_split(spark, sf_dir):
-    lines = layout.sections(layout.text_lines(_table(spark, sf_dir, "documents")))
+    lines = layout.sections(_lines(spark, sf_dir))
     return lines.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
+@query(rf"""
+WITH {_SQL_LINES},
+f AS (SELECT *, regexp_matches(lower(line), '{_AD}') AS ad, regexp_matches(lower(line), '( rx|rx |r/|treatment|medicine|medication|adv)') OR regexp_matches(lower(line), '(^|[^\p{{L}}\p{{N}}_])(tab|cap|syp|inj|ointment)($|[^\p{{L}}\p{{N}}_])') OR regexp_matches(lower(line), '(^|[^\p{{L}}\p{{N}}_])[0-9]+\s*(mg|ml|mcg)($|[^\p{{L}}\p{{N}}_])') AS hit FROM l),
+s AS (SELECT *, max((hit AND NOT ad)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) = 1 AS inside, max((hit AND NOT ad)::INT) OVER (PARTITION BY doc_id) = 1 AS opened FROM f)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT ad AND NOT (opened AND inside)), '') AS patient_info,
+  coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT opened OR inside AND NOT ad), '') AS medicine_text, string_agg(line, chr(10) ORDER BY line_no) AS full_text,
+  sum(len(string_split(line, ' ')))::BIGINT AS word_count FROM s GROUP BY doc_id""")
+def page_texts(spark, sf_dir):
+    return layout.page_texts(layout.sections(_lines(spark, sf_dir)).withColumn("words", F.split("text", " ")))
+
+
 _PAGES = ["Dolo 650 1-0-1 5 days Pan 40 1-0-0 7 days", "Dolo 650\n1-0-1\n5 days\nPan 40\n1-0-0\n7 days", "Zzq 99 OD 5 days"]
 _FOUND = [(0, 0, "Dolo 650", "1-0-1 (M-A-N)", "5 days"), (0, 1, "Pan 40", "1-0-0 (M-A-N)", "7 days"), (1, 0, "Dolo 650", "1-0-1 (M-A-N)", "5 days"), (1, 1, "Pan 40", "1-0-0 (M-A-N)", "7 days")]
 
@@ -407,3 +564,72 @@ SELECT 'legacy:' || regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g') AS exter
 def name_import(spark, sf_dir):
     names = _table(spark, sf_dir, "part").select(F.concat(F.lit(" "), F.col("p_name")).alias("value")).distinct()
     return names_from(names).select("external_id", "generic_name", "source_version")
+
+
+# ---------------------------------------------------------------- contracts
+
+_FORMS_OF = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in CONTRACT_FORMS.items()) + "}"
+_ROUTES_OF = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in CONTRACT_ROUTES.items()) + "}"
+
+
+@query(f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, CASE WHEN l_linenumber % 3 = 0 THEN '' WHEN l_linenumber % 3 = 1 THEN l_partkey || ' mg' END AS strength,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'N/A' ELSE (l_partkey % 7) || ' mg' END AS strength_text, ['Tablet', 'SYRUP', 'gel', NULL][l_partkey % 4 + 1] AS dosage_form, ['oral', 'Topical', 'rectal'][l_partkey % 3 + 1] AS route,
+  CASE WHEN l_linenumber % 4 = 0 THEN 'N/A' ELSE (l_orderkey % 12) || ' days' END AS duration, CASE WHEN l_linenumber % 5 <> 0 THEN l_quantity * 2 END AS overall, l_quantity AS confidence FROM lineitem),
+p AS (SELECT DISTINCT l_orderkey AS doc_id, [' Name: X ', 'Patient details not detected clearly.', ''][l_orderkey % 3 + 1] AS info FROM lineitem)
+SELECT doc_id, nullif(nullif(trim(info), 'Patient details not detected clearly.'), '') AS notes, 'P' || l_partkey AS name,
+  coalesce(nullif(strength, ''), nullif(strength_text, 'N/A')) AS strength, {_FORMS_OF}[lower(dosage_form)] AS form, {_ROUTES_OF}[lower(route)] AS route, nullif(duration, 'N/A') AS duration_text,
+  try_cast(nullif(regexp_extract(nullif(duration, 'N/A'), '(?i)([0-9]+)\\s*day', 1), '') AS INTEGER) AS days, round(coalesce(overall, confidence) / 100, 3) AS confidence
+FROM p JOIN r ON l_orderkey = doc_id""")
+def extraction_contract(spark, sf_dir):
+    """Rows of products, as extraction makes them, in the extraction contract, a list for each document."""
+    key, line, part = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")
+    items = _table(spark, sf_dir, "lineitem")
+    pick = lambda n, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (n % len(v) + 1).cast("int"))
+    rows = items.select(
+        key.alias("doc_id"), line.alias("place"), F.concat(F.lit("P"), part.cast("string")).alias("name"), F.lit(None).cast("string").alias("generic_name"),
+        F.when(line % 3 == 0, "").when(line % 3 == 1, F.concat(part.cast("string"), F.lit(" mg"))).alias("strength"), F.when(line % 2 == 0, "N/A").otherwise(F.concat((part % 7).cast("string"), F.lit(" mg"))).alias("strength_text"),
+        pick(part, "Tablet", "SYRUP", "gel", None).alias("dosage_form"), pick(part, "oral", "Topical", "rectal").alias("route"), F.lit("N/A").alias("dosage"), F.lit("").alias("frequency"),
+        F.when(line % 4 == 0, "N/A").otherwise(F.concat((key % 12).cast("string"), F.lit(" days"))).alias("duration"), F.when(line % 5 != 0, F.col("l_quantity") * 2).alias("overall_confidence"), F.col("l_quantity").alias("confidence"),
+    )
+    patients = items.select(key.alias("doc_id")).distinct().withColumn("patient_info", pick(F.col("doc_id"), " Name: X ", contracts.NO_PATIENT, ""))
+    made = contracts.extraction(rows, patients).select("doc_id", "notes", F.explode("medications").alias("m"))
+    return made.select("doc_id", "notes", "m.name", "m.strength", "m.form", "m.route", F.col("m.durationText").alias("duration_text"), F.col("m.durationDays").alias("days"), "m.confidence")
+
+
+@query(f"""
+WITH a AS ({_sql_resolve(False)}), {_SQL_CATALOG.lstrip()}
+SELECT p_partkey, status, matched_id, generic_name, brand_name, coalesce(cat.strength_value, {_sql_number(_sql_normalize('input_text'), _SQL_SINGLE, 1)}) AS strength_value,
+  CASE WHEN cat.strength_value IS NULL THEN nullif({_sql_unit(_sql_normalize('input_text'), _SQL_SINGLE, 2)}, '') ELSE cat.strength_unit END AS strength_unit, dosage_form, source FROM a LEFT JOIN cat ON id = matched_id""")
+def resolve_answers(spark, sf_dir):
+    catalog = part_catalog(spark, sf_dir)
+    found = linkage.resolve(_noisy(spark, sf_dir), catalog)
+    return contracts.resolve_answers(found, catalog).select("p_partkey", "status", "matched_id", "generic_name", "brand_name", "strength_value", "strength_unit", "dosage_form", "source")
+
+
+@query(f"WITH {_SQL_CATALOG} SELECT id, generic_name, brand_name, array_to_string(aliases, '|') AS aliases, NULL::VARCHAR AS strength, strength_value, strength_unit, dosage_form, 0 AS n_components, source, source_version, canonical_name FROM cat WHERE id >= '4'")
+def catalog_rows(spark, sf_dir):
+    rows = C.rows_out(part_catalog(spark, sf_dir)).filter("id >= '4'")
+    return rows.select("id", "generic_name", "brand_name", F.array_join("aliases", "|").alias("aliases"), "strength", "strength_value", "strength_unit", "dosage_form", F.size("combination_components").alias("n_components"), "source", "source_version", "canonical_name")
+
+
+@query(f"WITH {_SQL_CATALOG} SELECT t.p_partkey, cat.id, cat.external_id FROM (SELECT p_partkey, sha256('abdm|part:' || {_SQL_SLUG.format(x='p_name')}) AS key FROM part) t JOIN cat ON cat.id = key")
+def catalog_by_id(spark, sf_dir):
+    keys = _table(spark, sf_dir, "part").select("p_partkey", F.sha2(F.concat(F.lit("abdm|part:"), T.slug("p_name")), 256).alias("key"))
+    return C.by_ids(keys, part_catalog(spark, sf_dir), "key").select("p_partkey", "id", "external_id")
+
+
+@query("""
+WITH x AS (SELECT l_orderkey AS doc_id, CASE WHEN l_tax >= 0.04 THEN 'REVIEW_REQUIRED' WHEN l_quantity * 2 >= 82 THEN 'HIGH_CONFIDENCE' WHEN l_quantity * 2 >= 60 THEN 'LOW_CONFIDENCE' ELSE 'NO_MATCH' END AS status FROM lineitem)
+SELECT doc_id, status, count(*) AS n FROM x GROUP BY ALL""")
+def status_counts(spark, sf_dir):
+    x = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), linkage.status(F.col("l_quantity") * 2, F.col("l_tax") < 0.04).alias("status"))
+    return linkage.status_counts(x)
+
+
+@query("""
+WITH c AS (SELECT p_partkey, CASE WHEN p_partkey % 10 > 0 THEN p_partkey::VARCHAR ELSE '' END AS rxcui, upper(p_name) AS name, CASE WHEN p_partkey % 2 = 0 THEN 'PIN' END AS tty FROM part)
+SELECT 'rxnorm:' || rxcui AS external_id, array_to_string(list_transform(string_split(lower(name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS generic_name, rxcui, coalesce(tty, 'IN') AS tty, 'rxnorm' AS source FROM c WHERE rxcui <> ''""")
+def ingredient_import(spark, sf_dir):
+    concepts = _table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 10 > 0, F.col("p_partkey").cast("string")).otherwise("").alias("rxcui"), F.concat(F.lit(" "), F.upper("p_name")).alias("name"), F.when(F.col("p_partkey") % 2 == 0, "PIN").alias("tty"))
+    return ingredients_from(concepts).select("external_id", "generic_name", "rxcui", F.element_at("codes", "rxnorm_tty").alias("tty"), "source")
