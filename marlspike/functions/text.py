@@ -162,26 +162,23 @@ def letters(x: Column | str) -> Column:
     return F.lower(F.regexp_replace(_col(x), "[^a-zA-Z]", ""))
 
 
+# The shapes of schedules and durations, from here on and in the field parsers below.
 _FRACTIONS = r"([0-9]/[0-9]|[0-9])\s*-\s*([0-9]/[0-9]|[0-9])\s*-\s*([0-9]/[0-9]|[0-9])"
 _TRIAD = r"([0-9]|-)\s*[-/]\s*([0-9]|-)\s*[-/]\s*([0-9]|-)"
 #: A boundary on either side of a digit or a hyphen: word characters differ across it.
 _EDGE = rf"(?:(?<!{W})(?={W})|(?<={W})(?!{W}))"
-_DURATION = rf"(?i){B}[0-9]+\s?(?:days|day|weeks|week|months|month){E}"
+_DURATION = rf"(?i){B}[0-9]+\s?(?:day|days|week|weeks|month|months){E}"
 
 
 def is_noise(x: Column | str) -> Column:
     """A token that can't begin a name: empty, a stopword, a number, a frequency, a duration or a form."""
-    w = clean_word(x)
-    return (
-        (w == "")
-        | letters(w).isin(*sorted(STOPWORDS))
-        | w.rlike(r"^[0-9]+(?:\.[0-9]+)?$")
-        | F.upper(w).isin(*FREQUENCIES)
-        | w.rlike(rf"^{_EDGE}{_TRIAD}{_EDGE}$")
-        | w.rlike(rf"^{_EDGE}{_FRACTIONS}{_EDGE}$")
-        | w.rlike(r"(?i)^[0-9]+\s?(?:day|days|week|weeks|month|months)$")
-        | dosage_form(w).isNotNull()
-    )
+    def noise(w: Column) -> Column:
+        schedule = w.rlike(rf"^{_EDGE}{_TRIAD}{_EDGE}$") | w.rlike(rf"^{_EDGE}{_FRACTIONS}{_EDGE}$")
+        number = w.rlike(r"^[0-9]+(?:\.[0-9]+)?$") | w.rlike(r"(?i)^[0-9]+\s?(?:day|days|week|weeks|month|months)$")
+        form = F.lower(w).rlike(rf"(?<![a-z])(?:{_alternatives(FORMS)})(?![a-z])")
+        return (w == "") | letters(w).isin(*STOPWORDS) | F.upper(w).isin(*FREQUENCIES) | (F.contains(w, F.lit("-")) & schedule) | (w.rlike("^[0-9]") & number) | form
+
+    return F.exists(F.array(clean_word(x)), noise)  # the word is cleaned once
 
 
 # ---------------------------------------------------------------- instruction fields

@@ -42,22 +42,20 @@ FREQUENCIES = {
 MEAL_PHRASES = ("AFTER FOOD", "BEFORE FOOD")
 
 # Words that never begin a name on a page.
-STOPWORDS = set(
-    """
-    name address tablet take with hospital hospitals days day tab cap one two three four
-    sig temp capsule syr syrup drop drops inj injection the and for after before food water
-    morning night evening daily dose oral once twice times week weeks month months dr doctor consultant
-    patient male female years yrs date time uhid reg appointment mobile online clinic department advice
-    investigation weight height allergies diet diagnosis dale consullant mri brain plain teeth dental linked
-    shelscar chandra lame make care your ichandra adddivision smokycope headnight gizzlant uchphysical doffaking
-    among duegsie curs-t-f-o cpping violoing apms life lift several other diseases stairs instead
-    former proper women school schools street streets protest protests terms announced experienced warranted
-    princesses embassy emergency contact validity entries sign signature assessment record nationality religion
-    student corporate treatment investigations clinical notes advised meditation exercises fruits vegetables fibre
-    heaviness bloating nausea vomiting vomitings stools loss fever cough review candida effects mucas mucus
-    srivathsa rivathsa kims medical as directed instructed
-    """.split()
-)
+STOPWORDS = [
+    "name", "address", "tablet", "take", "with", "hospital", "hospitals", "days", "day", "tab", "cap", "one", "two", "three", "four", "sig", "temp",
+    "capsule", "syr", "syrup", "drop", "drops", "inj", "injection", "the", "and", "for", "after", "before", "food", "water", "morning", "night",
+    "evening", "daily", "dose", "oral", "once", "twice", "times", "week", "weeks", "month", "months", "dr", "doctor", "consultant", "patient", "male",
+    "female", "years", "yrs", "date", "time", "uhid", "reg", "appointment", "mobile", "online", "clinic", "department", "advice", "investigation",
+    "weight", "height", "allergies", "diet", "diagnosis", "dale", "consullant", "mri", "brain", "plain", "teeth", "dental", "linked", "shelscar",
+    "chandra", "lame", "make", "care", "your", "ichandra", "adddivision", "smokycope", "headnight", "gizzlant", "uchphysical", "doffaking", "among",
+    "duegsie", "curs-t-f-o", "cpping", "violoing", "apms", "life", "lift", "several", "other", "diseases", "stairs", "instead", "former", "proper",
+    "women", "school", "schools", "street", "streets", "protest", "protests", "terms", "announced", "experienced", "warranted", "princesses",
+    "embassy", "emergency", "contact", "validity", "entries", "sign", "signature", "assessment", "record", "nationality", "religion", "student",
+    "corporate", "treatment", "investigations", "clinical", "notes", "advised", "meditation", "exercises", "fruits", "vegetables", "fibre",
+    "heaviness", "bloating", "nausea", "vomiting", "vomitings", "stools", "loss", "fever", "cough", "review", "candida", "effects", "mucas", "mucus",
+    "srivathsa", "rivathsa", "kims", "medical", "as", "directed", "instructed",
+]
 
 # A line with one of these, in any case, is an advertisement.
 AD_FRAGMENTS = [

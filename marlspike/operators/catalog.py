@@ -131,7 +131,9 @@ def search(terms: DataFrame, catalog: DataFrame, term: str = "term", limit: int
     limit = limit or settings.candidate_limit
     own = catalog.select("id", "external_id", trigrams(F.col("search_text")).alias("g")).select("id", "external_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
     asked = terms.select(T.lookup_key(term).alias("term")).filter("term <> ''").distinct().select("term", trigrams(F.col("term")).alias("g")).select("term", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    both = asked.join(own, "gram").groupBy("term", "id", "external_id", "m", "n").agg(F.count("*").alias("c"))
+    least = settings.min_trigram_similarity  # no higher than the smaller set's share of the larger
+    fits = (F.col("n") >= F.col("m") * least) & (F.col("m") >= F.col("n") * least)
+    both = asked.join(own, "gram").filter(fits).groupBy("term", "id", "external_id", "m", "n").agg(F.count("*").alias("c"))
     near = both.withColumn("similarity", F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).filter(F.col("similarity") >= settings.min_trigram_similarity)
     place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("similarity"), "external_id"))
     return near.withColumn("place", place).filter(F.col("place") <= limit).select("term", "id", "similarity", "place")

@@ -8,7 +8,7 @@ to line.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, Settings
@@ -110,17 +110,18 @@ def extract(lines: DataFrame, catalog: DataFrame, settings: Settings = DEFAULTS,
     answers = phrases.select("phrase", F.col("matched_id").alias("id"), "confidence", "match_type", F.coalesce(conflict, F.lit(False)).alias("conflict")).filter("id is not null or conflict")
     med = catalog.select("id", F.coalesce(F.nullif("brand_name", F.lit("")), F.nullif("generic_name", F.lit("")), F.get("aliases", F.lit(0))).alias("name"), "generic_name")
     hits = every.join(answers, "phrase").join(med, "id", "left")
-    # each span's fields for every place where its window may end
+    # each span's fields for every place where its window may end: where another span of its line begins, or the line ends
     line = lines.select(F.col(doc).alias("doc"), "line_no", F.col("text").alias("raw"), "confidence", T.tokenize("text").alias("tokens")).filter(F.length(F.array_join("tokens", " ")) >= 3)
     hit = hits.select(F.col(doc).alias("doc"), "line_no", "start", "length", "id", F.col("confidence").alias("score"), "match_type", "conflict", "name", "generic_name")
-    ends = F.sequence(F.col("start") + F.col("length"), F.size("tokens"))
+    starts = F.filter(F.collect_set("start").over(Window.partitionBy("doc", "line_no")), lambda s: s >= F.col("start") + F.col("length"))
+    ends = F.array_distinct(F.concat(starts, F.array(F.size("tokens"))))
 
     def fields(to):
         window = F.array_join(F.slice("tokens", F.col("start") + F.col("length") + 1, to - F.col("start") - F.col("length")), " ")
         own = F.trim(F.concat_ws(" ", F.array_join(F.slice("tokens", F.col("start") + 1, F.col("length")), " "), window))
         return F.struct(T.dosage(window).alias("dosage"), T.frequency(window).alias("frequency"), T.duration(window).alias("duration"), T.strength_text(own).alias("strength_text"))
 
-    full = hit.join(line, ["doc", "line_no"]).withColumn("fields", F.map_from_arrays(ends, F.transform(ends, fields)))
+    full = hit.join(line, ["doc", "line_no"]).withColumn("ends", ends).withColumn("fields", F.map_from_arrays("ends", F.transform("ends", fields)))
     span = F.struct("start", "length", "id", F.col("score").alias("confidence"), "match_type", F.col("id").isNotNull().alias("matched"), "conflict", "name", "generic_name", "fields")
     found = full.groupBy("doc", "line_no").agg(F.collect_list(span).alias("spans"))
     with_lines = line.join(found, ["doc", "line_no"], "left")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import re
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,15 +60,24 @@ def lines_of_words(words: DataFrame, per_page: bool = False, doc: str = "doc_id"
     return x.select(*key, "line_no", F.array_join(F.transform("row", lambda w: w["text"]), " ").alias("text"), low("x").alias("x"), low("y").alias("y"), (high("x", "width") - low("x")).alias("width"), (high("y", "height") - low("y")).alias("height"), mean.alias("confidence"), low("confidence").alias("min_confidence"), F.transform("row", lambda w: F.struct(w["text"].alias("text"), w["confidence"].alias("confidence"), w["x"].alias("x"), w["y"].alias("y"), w["width"].alias("width"), w["height"].alias("height"))).alias("words"))
 
 
+def _holds_any(text: Column, parts: list[str]) -> Column:
+    return reduce(operator.or_, [F.contains(text, F.lit(p)) for p in parts])
+
+
 def is_ad(text: Column | str) -> Column:
-    return F.lower(text).rlike("|".join(re.escape(a) for a in AD_FRAGMENTS))
+    return _holds_any(F.lower(text), AD_FRAGMENTS)
 
 
 def opens_section(text: Column | str) -> Column:
-    low = F.lower(text)
-    plain = "|".join(re.escape(t) for t in SECTION_TRIGGERS)
+    return _opens(F.lower(text))
+
+
+def _opens(low: Column) -> Column:
     edge, end = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-    return low.rlike(plain) | low.rlike(rf"{edge}(?:{'|'.join(SECTION_WORDS)}){end}") | low.rlike(rf"{edge}[0-9]+\s*(?:mg|ml|mcg){end}")
+    # plain searches decide most lines; what they leave goes to the patterns
+    word = _holds_any(low, SECTION_WORDS) & low.rlike(rf"{edge}(?:{'|'.join(SECTION_WORDS)}){end}")
+    amount = _holds_any(low, ["mg", "ml", "mcg"]) & low.rlike(rf"{edge}[0-9]+\s*(?:mg|ml|mcg){end}")
+    return _holds_any(low, SECTION_TRIGGERS) | word | amount
 
 
 def sections(lines: DataFrame, doc: str = "doc_id", line_no: str = "line_no", text: str = "text") -> DataFrame:
@@ -82,6 +92,22 @@ def sections(lines: DataFrame, doc: str = "doc_id", line_no: str = "line_no", te
     return x.withColumn("section", section).withColumn("also_patient", ~F.col("_any") & ~F.col("_ad")).drop("_ad", "_in", "_any")
 
 
+def text_sections(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, line_no, text, section, also_patient) of the lines of plain texts: sections() of text_lines(), but a
+    document's lines are judged where its row is, so nothing is shuffled. Blank texts have none."""
+    def mark(line: Column, low: Column) -> Column:
+        return F.struct(line.alias("text"), _holds_any(low, AD_FRAGMENTS).alias("ad"), _opens(low).alias("opens"))
+
+    marked = F.zip_with(F.split(text, "\n"), F.transform(F.split(text, "\n"), F.lower), mark)  # each line lowered once
+    rows = docs.filter(F.length(F.trim(text)) > 0).select(doc, marked.alias("_lines"))
+    rows = rows.withColumn("_first", F.array_position(F.transform("_lines", lambda x: x["opens"] & ~x["ad"]), True))
+    # outer, though no document is without lines: else the planner computes the lines once more to filter by their number
+    x = rows.select(doc, "_first", F.posexplode_outer("_lines").alias("line_no", "_line"))
+    any_, ad = F.col("_first") > 0, F.col("_line.ad")
+    section = F.when(~any_, "medicine").when(ad, "ad").when(F.col("line_no") + 1 >= F.col("_first"), "medicine").otherwise("patient")
+    return x.select(doc, "line_no", F.col("_line.text").alias("text"), section.alias("section"), (~any_ & ~ad).alias("also_patient"))
+
+
 def page_texts(lines: DataFrame, doc: str = "doc_id") -> DataFrame:
     """(doc, patient_info, medicine_text, full_text, word_count) of lines with sections."""
     def joined(keep: Column) -> Column:

@@ -138,7 +138,7 @@ def instruction_fields(spark, sf_dir):
     return x.select("n_nationkey", "id", "t", T.frequency("t").alias("frequency"), T.dosage("t").alias("dosage"), T.duration("t").alias("duration"), T.strength_text("t").alias("strength_text"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in sorted(STOPWORDS))
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
 
 @query(rf"""
@@ -152,8 +152,8 @@ SELECT doc_id, line_no, count(*) AS n_tokens, count(*) FILTER (w = '' OR lower(r
 FROM c GROUP BY doc_id, line_no""")
 def tokenize_lines(spark, sf_dir):
     lines = layout.text_lines(_table(spark, sf_dir, "documents"))
-    tokens = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.explode(T.tokenize("text")).alias("w"))
-    return tokens.groupBy("doc_id", "line_no").agg(F.count("*").alias("n_tokens"), F.sum(T.is_noise("w").cast("long")).alias("n_noise"))
+    tokens = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.tokenize("text").alias("w"))
+    return tokens.select("doc_id", "line_no", F.size("w").cast("long").alias("n_tokens"), F.size(F.filter("w", T.is_noise)).cast("long").alias("n_noise")).filter("n_tokens > 0")
 
 
 def _sql_replaced(x: str, old: str, new: str) -> str:
@@ -502,11 +502,15 @@ _SQL_LINES = f"""l0 AS (SELECT doc_id, unnest(range(0, len(string_split(text, ch
 l AS (SELECT doc_id, line_no, CASE WHEN (doc_id + line_no) % 9 = 0 THEN line || ' ' || upper([{', '.join(f"'{a}'" for a in AD_FRAGMENTS)}][(doc_id + line_no) % {len(AD_FRAGMENTS)} + 1]) ELSE line END AS line FROM l0)"""
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = layout.text_lines(_table(spark, sf_dir, "documents"))
-    number = F.col("doc_id") + F.col("line_no")
-    fragment = F.element_at(F.array(*map(F.lit, AD_FRAGMENTS)), (number % len(AD_FRAGMENTS) + 1).cast("int"))
-    return lines.withColumn("text", F.when(number % 9 == 0, F.concat("text", F.lit(" "), F.upper(fragment))).otherwise(F.col("text")))
+def _with_ads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, with an advertisement at the end of every ninth line."""
+    def ended(line, k):
+        number = F.col("doc_id") + k
+        fragment = F.element_at(F.array(*map(F.lit, AD_FRAGMENTS)), (number % len(AD_FRAGMENTS) + 1).cast("int"))
+        return F.when(number % 9 == 0, F.concat(line, F.lit(" "), F.upper(fragment))).otherwise(line)
+
+    docs = _table(spark, sf_dir, "documents").filter(F.length(F.trim("text")) > 0)
+    return docs.select("doc_id", F.array_join(F.transform(F.split("text", "\n"), ended), "\n").alias("text"))
 
 
 @query(rf"""
@@ -515,7 +519,7 @@ f AS (SELECT *, regexp_matches(lower(line), '{_AD}') AS ad, regexp_matches(lower
 s AS (SELECT *, max((hit AND NOT ad)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) = 1 AS inside, max((hit AND NOT ad)::INT) OVER (PARTITION BY doc_id) = 1 AS opened FROM f)
 SELECT doc_id, CASE WHEN NOT opened THEN 'medicine' WHEN ad THEN 'ad' WHEN inside THEN 'medicine' ELSE 'patient' END AS section, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM s GROUP BY ALL""")
 def section_split(spark, sf_dir):
-    lines = layout.sections(_lines(spark, sf_dir))
+    lines = layout.text_sections(_with_ads(spark, sf_dir))
     return lines.groupBy("doc_id", "section").agg(F.count("*").alias("n_lines"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
@@ -527,7 +531,7 @@ SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT a
   coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT opened OR inside AND NOT ad), '') AS medicine_text, string_agg(line, chr(10) ORDER BY line_no) AS full_text,
   sum(len(string_split(line, ' ')))::BIGINT AS word_count FROM s GROUP BY doc_id""")
 def page_texts(spark, sf_dir):
-    return layout.page_texts(layout.sections(_lines(spark, sf_dir)).withColumn("words", F.split("text", " ")))
+    return layout.page_texts(layout.sections(layout.text_lines(_with_ads(spark, sf_dir))).withColumn("words", F.split("text", " ")))
 
 
 _PAGES = ["Dolo 650 1-0-1 5 days Pan 40 1-0-0 7 days", "Dolo 650\n1-0-1\n5 days\nPan 40\n1-0-0\n7 days", "Zzq 99 OD 5 days"]

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from typing import Protocol
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import UNCLASSIFIED
 from ..functions import text as T
 from ..operators.catalog import COMPONENTS, upsert
+from ..workers import staged
 from .brands import BRANDS
 
 # The types of files that are taken.
@@ -124,16 +128,22 @@ class NationalRegistry(LicensedDataset):
 
 
 def sync(provider: Provider, catalog: DataFrame) -> tuple[DataFrame, int]:
-    """The catalog after a provider's records came in, and their number; as it was, and 0, if it isn't configured."""
+    """The catalog after a provider's records came in, and their number; as it was, and 0, if the provider isn't
+    configured or its records can't be read. They are read once, into a table that both answers use."""
     if not provider.is_configured():
         return catalog, 0
-    records = provider.records(catalog.sparkSession).withColumn("_order", F.monotonically_increasing_id())
+    try:
+        records = staged(provider.records(catalog.sparkSession).withColumn("_order", F.monotonically_increasing_id()), "records")
+    except (PySparkException, Py4JError, OSError) as why:
+        logging.getLogger(__name__).warning("no records from %s: %s", provider.source, why)
+        return catalog, 0
     return upsert(catalog, records, provider.supplied, order="_order"), records.count()
 
 
 def page_files(spark: SparkSession, path: str, most_bytes: int = 15 * 1024 * 1024) -> DataFrame:
-    """Binary files of the accepted types and size, with their type; larger ones are left at the source."""
+    """Binary files with their type, by suffix, and why one is ``rejected``: its type or its size; null if it is taken."""
     kind = F.element_at(F.split(F.lower("path"), r"\."), -1)
     types = {"jpeg": "image/jpeg", "jpg": "image/jpeg", "png": "image/png", "webp": "image/webp", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "pdf": "application/pdf"}
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= most_bytes)
-    return files.withColumn("content_type", T.lookup(kind, types)).filter(F.col("content_type").isin(*CONTENT_TYPES))
+    files = spark.read.format("binaryFile").load(path).withColumn("content_type", T.lookup(kind, types))
+    known = F.coalesce(F.col("content_type").isin(*CONTENT_TYPES), F.lit(False))
+    return files.withColumn("rejected", F.when(~known, "type").when(F.col("length") > most_bytes, "size"))
