@@ -1,10 +1,12 @@
-"""Exact top-k by integer inner product: a KD-tree for each shard, best-first, with a kth score passed on.
+"""Exact top-k by integer inner product: a KD-tree for each shard, best-first, with the kth score passed on.
 
-Shards are dealt by a hash of the row's id and hold a bounded number of rows. A tree splits at the
-median of its widest dimension; each node has the tight box of its rows, whose upper bound on a
-query's inner product orders the traversal. Queries come in blocks: a block searches its home shard
-first, and the kth scores found there prune all other shards. A node is left out only if its bound is
-below the kth score, so ties, which go to the smaller id, are kept.
+Rows are cut into cells at the medians of a bounded sample, and a cell with more rows than a shard may
+hold into several shards by a hash of the id. Each shard's tree is built and stored once; it splits at
+the median of its widest dimension, and each node has the tight box of its rows, whose upper bound on a
+query's inner product orders the traversal. A query visits shards by the bounds of their boxes, in
+rounds of 1, 2, 4, ... shards; the kth score found so far leaves out shards and nodes whose bound is
+below it. Ties go to the smaller id, so what equals the kth score is visited. Queries come to the trees
+in blocks; rows are not copied for them.
 """
 
 from __future__ import annotations
@@ -13,13 +15,18 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 SHARD_ROWS = 25_000
 BLOCK_QUERIES = 2_000
+#: Rows, of least hash, from which the cells' medians are taken.
+SAMPLE_ROWS = 20_000
+#: Rows of cells or shards that may be broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 LEAF = 256
 _EXACT = float(1 << 53)
 
@@ -81,25 +88,104 @@ class Tree:
         return list(zip(scores[best].tolist(), ids[best].tolist(), strict=True))
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
+    def packed(self) -> dict[str, bytes]:
+        return {"ids": self.ids.tobytes(), "vectors": self.vectors.tobytes(), "nodes": np.array(self.nodes, np.int64).tobytes(), "boxes": np.stack([self.low, self.high]).tobytes()}
+
+    @classmethod
+    def unpacked(cls, dim: int, ids: bytes, vectors: bytes, nodes: bytes, boxes: bytes) -> Tree:
+        own = cls.__new__(cls)
+        own.ids = np.frombuffer(ids, np.int64)
+        own.vectors = np.frombuffer(vectors, np.float64).reshape(len(own.ids), dim)
+        own.nodes = np.frombuffer(nodes, np.int64).reshape(-1, 4).tolist()
+        own.low, own.high = np.frombuffer(boxes, np.float64).reshape(2, len(own.nodes), dim)
+        return own
+
+
+def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column]) if len(column) else np.zeros((0, 0))
 
 
+def _splits(sample: np.ndarray, cells: int) -> list[tuple[int, float]]:
+    """Median splits of the widest dimension, by heap order, into ``cells`` (a power of two) cells."""
+    out, parts = [], [sample]
+    while len(out) < cells - 1:
+        part = parts.pop(0)
+        widest = int(np.argmax(part.max(axis=0) - part.min(axis=0))) if part.size else 0
+        value = float(np.median(part[:, widest])) if part.size else 0.0
+        out.append((widest, value))
+        low = part[:, widest] < value if part.size else np.zeros(len(part), bool)
+        parts += [part[low], part[~low]]
+    return out
+
+
+def _placed(splits: dict[int, list[tuple[int, float]]]):
+    """Batches (vec_id, asked, dim, v) with the number of each row's cell."""
+
+    def run(batches):
+        for batch in batches:
+            cell = np.zeros(batch.num_rows, np.int64)
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                rows, own = np.flatnonzero(dims == dim), splits.get(dim, [])
+                if not own or not dim:
+                    continue
+                x = batch.column(3).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), dim)
+                at = np.zeros(len(rows), np.int64)
+                axis, value = (np.array([s[k] for s in own]) for k in (0, 1))
+                while at[0] < len(own):  # all rows are equally deep
+                    at = 2 * at + 1 + (x[np.arange(len(rows)), axis[at]] >= value[at])
+                cell[rows] = at - len(own)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+
+    return run
+
+
+def _build(pdf: pd.DataFrame) -> pd.DataFrame:
+    tree = Tree(pdf["vec_id"].to_numpy(np.int64), _matrix(pdf["v"]))
+    return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "dim": [int(pdf["dim"].iloc[0])], **{k: [v] for k, v in tree.packed().items()}, "low": [tree.low[0].tolist()], "high": [tree.high[0].tolist()]})
+
+
+def _next_shards(boxes, take: int):
+    """Batches (q_id, q, dim, kth, seen) -> (shard, q_id, q, dim, kth) of the next shards by bound that may hold the kth score or more."""
+
+    def run(batches):
+        for batch in batches:
+            out = {k: [] for k in ("shard", "row")}
+            dims, kth, seen = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False), batch.column(4).to_numpy()
+            for dim in np.unique(dims).tolist():
+                shard, low, high = boxes.value[dim]
+                rows = np.flatnonzero(dims == dim)
+                for at in range(0, len(rows), 256):
+                    own = rows[at : at + 256]
+                    q = batch.column(1).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), dim)
+                    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+                    for row, bound in zip(own.tolist(), bounds, strict=True):
+                        order = np.argsort(-bound, kind="stable")[int(seen[row]) : int(seen[row]) + take]
+                        order = order[bound[order] >= kth[row]] if kth[row] == kth[row] else order
+                        out["shard"].append(shard[order])
+                        out["row"].append(np.full(len(order), row, np.int64))
+            shard, row = (np.concatenate(out[k]) if out[k] else np.zeros(0, np.int64) for k in ("shard", "row"))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *(batch.column(k).take(pa.array(row)) for k in range(4))], names=["shard", "q_id", "q", "dim", "kth"])
+
+    return run
+
+
 def _searched(k: int):
-    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(queries):
-            tree = Tree(rows["vec_id"].to_numpy(np.int64), _matrix(rows["v"]))
-            asked = _matrix(queries["q"])
-            most = np.abs(tree.vectors).max(initial=0) * np.abs(asked).max(initial=0) * max(1, asked.shape[1])
-            if most >= _EXACT:
-                raise ValueError("components too large for exact scores")
-            bounds = tree.bounds(asked)
-            kths = queries["kth"].to_numpy(np.float64)
-            for n, own in enumerate(queries["q_id"].tolist()):
-                kth = kths[n] if kths[n] == kths[n] else -np.inf
-                out += [(own, i, int(s)) for s, i in tree.search(own, asked[n], bounds[n], k, kth)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+    """Batches (dim, ids, vectors, nodes, boxes, queries): a tree and a block of queries each -> what the tree has for them."""
+
+    def run(batches):
+        for batch in batches:
+            for n in range(batch.num_rows):
+                dim, ids, vectors, nodes, boxes, queries = (batch.column(c)[n].as_py() for c in range(6))
+                tree = Tree.unpacked(dim, ids, vectors, nodes, boxes)
+                asked = _matrix([x["q"] for x in queries])
+                if np.abs(tree.vectors).max(initial=0) * np.abs(asked).max(initial=0) * max(1, dim) >= _EXACT:
+                    raise ValueError("components too large for exact scores")
+                out, bounds = [], tree.bounds(asked)
+                for x, q, bound in zip(queries, asked, bounds, strict=True):
+                    out += [(x["q_id"], i, int(s)) for s, i in tree.search(x["q_id"], q, bound, k, -np.inf if x["kth"] is None else x["kth"])]
+                got = np.array(out, np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, c]) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -111,35 +197,62 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, ve
     infinity, and null ids, take no part; vectors of different lengths never meet. Rows of the query's
     own id are not its candidates; repeated queries are asked once, repeated candidates count each.
     Fewer candidates than k: all. No queries or no candidates: no rows. Extra columns are not read.
+    Scores of 2**53 or more raise an error. The driver holds a sample of SAMPLE_ROWS rows and, for each
+    shard, a row with its box.
     """
+    spark = vectors.sparkSession
     good = F.col("e").isNotNull() & F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.col("vec_id").isNotNull()
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("e"), F.coalesce(is_query, F.lit(False)).alias("asked")).filter(good)
     rows = rows.select("vec_id", "asked", F.size("e").alias("dim"), F.transform("e", lambda x: F.floor(x * scale).cast("double")).alias("v"))
-    counts = rows.groupBy("dim").agg(F.count("*").alias("n"), F.sum(F.col("asked").cast("long")).alias("q")).collect()  # a row for each length of vectors
+    counts = {r["dim"]: r["n"] for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # a row for each length of vectors
     if not counts:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    dims = {r["dim"]: (max(1, -(-r["n"] // shard_rows)), max(1, -(-r["q"] // block_queries))) for r in counts}
-    shards = F.element_at(F.create_map(*[F.lit(x) for d, (s, _) in dims.items() for x in (d, s)]), F.col("dim"))
-    blocks = F.element_at(F.create_map(*[F.lit(x) for d, (_, b) in dims.items() for x in (d, b)]), F.col("dim"))
-    placed = rows.withColumns({"shards": shards, "blocks": blocks})
-    # a shard's rows go to each block of queries, and each block to every shard
-    held = placed.withColumn("shard", F.pmod(F.xxhash64("vec_id"), "shards").cast("int")).select("dim", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "shards", "vec_id", "v")
-    asked = placed.filter("asked").select("vec_id", "v", "dim", "shards", "blocks").distinct().withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks").cast("int"))
-    home = F.col("shard") == F.col("block") % F.col("shards")
-    key, found = ["dim", "shard", "block"], "query_id long, vec_id long, score long"
-
-    def searched(held: DataFrame, queries: DataFrame) -> DataFrame:
-        renamed = [F.col(c).alias(f"q_{c}") for c in key] + [F.col("vec_id").alias("q_id"), F.col("v").alias("q"), "kth"]
-        own = queries.select(*renamed).groupBy(*[f"q_{c}" for c in key])
-        return held.select(*key, "vec_id", "v").groupBy(*key).cogroup(own).applyInPandas(_searched(k), found)
-
-    first = written(searched(held.filter(home), asked.withColumns({"shard": F.col("block") % F.col("shards"), "kth": F.lit(None).cast("double")})), "nearest")
-    if max(s for s, _ in dims.values()) > 1:
-        kth = first.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).select(F.col("query_id").alias("vec_id"), F.when(F.col("n") >= k, F.col("low")).cast("double").alias("kth"))
-        everywhere = asked.join(kth, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).filter(~home)
-        first = first.unionByName(searched(held.filter(~home), everywhere))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sample, splits = {}, {}
+    for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("dim", "v").collect():
+        sample.setdefault(r["dim"], []).append(r["v"])
+    for dim, n in counts.items():
+        cells = 1
+        while cells * shard_rows < n:
+            cells *= 2
+        splits[dim] = _splits(_matrix(sample.get(dim, [])), cells)
+    placed = rows.mapInArrow(_placed(splits), "vec_id long, asked boolean, dim int, v array<double>, cell long")
+
+    table, shards = [], 0
+    for r in sorted(placed.groupBy("dim", "cell").count().collect()):  # a row for each cell
+        parts = -(-r["count"] // shard_rows)
+        table.append((r["dim"], r["cell"], shards, parts))
+        shards += parts
+    cells = spark.createDataFrame(table, "dim int, cell long, base long, parts long")
+    dealt = placed.join(F.broadcast(cells) if len(table) <= BROADCAST_ROWS else cells, ["dim", "cell"])
+    dealt = dealt.select("vec_id", "dim", "v", (F.col("base") + F.pmod(F.xxhash64("vec_id"), "parts")).alias("shard"))
+    trees = written(dealt.groupBy("shard").applyInPandas(_build, "shard long, dim int, ids binary, vectors binary, nodes binary, boxes binary, low array<double>, high array<double>"), "trees")
+    boxes = {}
+    for r in trees.select("dim", "shard", "low", "high").collect():
+        boxes.setdefault(r["dim"], []).append((r["shard"], r["low"], r["high"]))
+    boxes = spark.sparkContext.broadcast({d: (np.array([x[0] for x in own], np.int64), _matrix([x[1] for x in own]), _matrix([x[2] for x in own])) for d, own in boxes.items()})
+
+    asked = written(rows.filter("asked").select(F.col("vec_id").alias("q_id"), F.col("v").alias("q"), "dim").distinct(), "asked")
+    state, best, take, seen = asked.select("*", F.lit(None).cast("double").alias("kth"), F.lit(0).alias("seen")), None, 1, 0
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return first.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+    while seen < shards:
+        planned = written(state.mapInArrow(_next_shards(boxes, take), "shard long, q_id long, q array<double>, dim int, kth double"), "planned")
+        busy = planned.groupBy("shard").agg(F.ceil(F.count("*") / block_queries).cast("long").alias("blocks"))
+        if not planned.limit(1).count():
+            break
+        met = planned.join(F.broadcast(busy) if shards <= BROADCAST_ROWS else busy, "shard")
+        block = met.groupBy("shard", F.pmod(F.xxhash64("q_id"), "blocks").alias("block")).agg(F.collect_list(F.struct("q_id", "q", "kth")).alias("queries"))  # about block_queries of them
+        found = block.join(trees, "shard").select("dim", "ids", "vectors", "nodes", "boxes", "queries").mapInArrow(_searched(k), "query_id long, vec_id long, score long")
+        every = found if best is None else best.unionByName(found)
+        now = written(every.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank"), "nearest")
+        for old in (planned, best):
+            if old is not None:
+                drop_written(old)
+        best, seen, take = now, seen + take, 2 * take
+        kth = best.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).select(F.col("query_id").alias("q_id"), F.when(F.col("n") >= k, F.col("low")).cast("double").alias("kth"))
+        state = asked.join(kth, "q_id", "left").select("q_id", "q", "dim", "kth", F.lit(seen).alias("seen"))
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    return best.withColumn("rank", rank.cast("int")).select("query_id", "rank", "vec_id", "score")
 
 
 SQL = """
