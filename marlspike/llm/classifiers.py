@@ -63,14 +63,19 @@ def _parts(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
 
 
 def _features(shapes: bool):
+    """Batches (label_id, y, text) -> (label_id, y, codes), each id once in a task: of several texts the least codes."""
+
     def run(batches):
+        least: dict[int, tuple[bytes, int]] = {}  # ids of the sample: bounded
         for batch in batches:
             rows = []
             for a, b, data, offsets in _parts(batch.column(batch.schema.get_field_index("text"))):
                 doc, code = _codes(data, offsets, shapes)
                 both = np.unique(doc << BITS | code)
                 rows += [x.astype("<i4").tobytes() for x in np.split(both & ((1 << BITS) - 1), np.searchsorted(both >> BITS, np.arange(1, b - a)))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(k)) for k in ("label_id", "y")), pa.array(rows, pa.binary())], names=["label_id", "y", "codes"])
+            for i, y, codes in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("label_id", "y")), rows, strict=True):
+                least[i] = min(least.get(i, (codes, y)), (codes, y))
+        yield pa.RecordBatch.from_arrays([pa.array(list(least), pa.int64()), pa.array([y for _, y in least.values()], pa.int32()), pa.array([c for c, _ in least.values()], pa.binary())], names=["label_id", "y", "codes"])
 
     return run
 
@@ -206,12 +211,13 @@ def fit_ordinal(sample: Sample, grades: int, steps: int = 400, rate: float = 0.0
 
 def _sampled(docs: DataFrame, known: DataFrame, most: int, shapes: bool, doc_id: str, text: str) -> tuple[list[bytes], list[int]]:
     """Features of the ``most`` documents of known (label_id, y) of least hash, by that hash: bounded, so they are
-    broadcast to the texts. Of several texts with one id the one of least features counts."""
+    broadcast to the texts. Of several texts with one id the one of least codes counts."""
     some = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
     rows = docs.select(F.col(doc_id).cast("long").alias("label_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(some), "label_id").select("label_id", "y", "text")
-    made = rows.mapInArrow(_features(shapes), "label_id long, y int, codes binary").groupBy("label_id").agg(F.max("y").alias("y"), F.min("codes").alias("codes"))
-    got = sorted(made.collect(), key=lambda r: r["label_id"])  # most rows
-    return [bytes(r["codes"]) for r in got], [r["y"] for r in got]
+    least: dict[int, tuple[bytes, int]] = {}
+    for r in rows.mapInArrow(_features(shapes), "label_id long, y int, codes binary").collect():  # most rows, but for ids that come up in several tasks
+        least[r["label_id"]] = min(least.get(r["label_id"], (bytes(r["codes"]), r["y"])), (bytes(r["codes"]), r["y"]))
+    return [least[i][0] for i in sorted(least)], [least[i][1] for i in sorted(least)]
 
 
 def _raw(docs: DataFrame, weights: np.ndarray, shapes: bool, doc_id: str, text: str, carry: str | None = None) -> DataFrame:
