@@ -9,7 +9,7 @@ end also sign in the next band's scheme.
 
 Equal sets are one node. What shares a signature is a group. First every set of a group is held
 against the group's least. Where that leaves a group in several components, its pairs across
-components are screened inside the group by parity sketches as long as the sets, which bound the
+components are screened inside the group by parity sketches of the sets' own length, which bound the
 difference exactly; of the pairs that pass, each group gives a spanning forest (nearest first) to be
 verified. Only groups that are still apart then, and have pairs left, give those. So each pair that
 shares a signature is verified on whole texts, ruled out by its sketches, or already joined.
@@ -35,6 +35,8 @@ from .textvec import mix, pieces, utf8_buffers, words
 
 #: Sets of one signature that are held against each other at once.
 MOST = 2048
+#: Rows of one least set's groups that go to one task, about.
+SHARE = 50_000
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 200_000
 _RATIO = 1.5
@@ -151,9 +153,9 @@ def schemes(percent: int) -> Schemes:
 
 
 def sketch(items: np.ndarray) -> bytes:
-    """A parity sketch with about a bit for each element: a power of two, 64 at least. The distance of two sets'
-    sketches, folded to one length, never exceeds their difference."""
-    bits = max(64, 1 << max(0, len(items) - 1).bit_length())
+    """A parity sketch of two to four bits for each element: a power of two, 256 at least. The distance of two
+    sets' sketches, folded to one length, never exceeds their difference."""
+    bits = max(256, 2 << max(0, len(items) - 1).bit_length())
     own = np.bincount(((items >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(own.astype(np.uint8)).tobytes()
 
@@ -176,7 +178,7 @@ class Sketches:
         for m, n in {*zip(x.tolist(), y.tolist(), strict=True)}:
             to = min(m, n)
             own = np.flatnonzero((x == m) & (y == n))
-            step = max(1, (1 << 22) // max(m, n))  # 32 MB at once
+            step = max(1, (1 << 18) // max(m, n))  # 2 MB at once
             for k in range(0, len(own), step):
                 rows = own[k : k + step]
                 out[rows] = np.bitwise_count(self._rows(a[rows], m, to) ^ self._rows(b[rows], n, to)).sum(axis=1, dtype=np.int64)
@@ -235,36 +237,37 @@ _GROUPS = "hot boolean, k1 long, k2 long, low long, docs array<long>"
 
 
 def _grouped(most: int):
-    """Rows (sig, doc) sorted by both -> groups of distinct docs that share a sig. A group's key are two hashes of
-    its docs, so that signatures of the same docs are one; a sig with more than ``most`` docs is hot, and gives its
-    docs in pieces of that many, under the sig and the piece's number. low: the least doc of the sig."""
+    """Rows (sig, doc) sorted by sig -> groups of distinct docs that share a sig. A group's key are two hashes of its
+    docs, so that signatures of the same docs are one; a sig with more than ``most`` rows is hot, and gives its docs
+    in pieces of that many, under the sig and the piece's number. low: the least doc of the group, or first piece."""
 
     def groups(sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-        first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        size = np.diff(np.append(first, len(sig)))
-        keep = np.repeat(size > 1, size)
-        doc, size = doc[keep], size[size > 1]
+        for distinct in (False, True):  # few rows share a sig: only these are sorted
+            first = np.flatnonzero(np.append(True, sig[1:] != sig[:-1])) if len(sig) else np.zeros(0, np.int64)
+            size = np.diff(np.append(first, len(sig)))
+            keep = np.repeat(size > 1, size)
+            sig, doc, size = sig[keep], doc[keep], size[size > 1]
+            if not distinct:
+                order = np.lexsort((doc, sig))
+                sig, doc = sig[order], doc[order]
+                fresh = np.append(True, (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1]))[: len(sig)]
+                sig, doc = sig[fresh], doc[fresh]
         start = np.cumsum(size) - size
         keys = [np.add.reduceat(mix(doc.view(np.uint64) + c), start).view(np.int64) if len(doc) else doc for c in (_C[0], _C[4])]
         lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(doc)).astype(np.int32)), pa.array(doc))
         return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), bool)), *map(pa.array, keys), pa.array(doc[start]), lists], names=["hot", "k1", "k2", "low", "docs"])
 
     def piece(sig: int, number: int, low: int, doc: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([True]), pa.array([sig], pa.int64()), pa.array([number], pa.int64()), pa.array([low], pa.int64()), pa.array([doc], pa.list_(pa.int64()))], names=["hot", "k1", "k2", "low", "docs"])
+        return pa.RecordBatch.from_arrays([pa.array([True]), pa.array([sig], pa.int64()), pa.array([number], pa.int64()), pa.array([low], pa.int64()), pa.array([np.unique(doc)], pa.list_(pa.int64()))], names=["hot", "k1", "k2", "low", "docs"])
 
     def run(batches):
-        sig, doc, hot, last = np.zeros(0, np.int64), np.zeros(0, np.int64), None, None  # hot: (sig, pieces so far, its least)
+        sig, doc, hot = np.zeros(0, np.int64), np.zeros(0, np.int64), None  # hot: (sig, pieces so far, its low)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            s, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            fresh = np.append(True, (s[1:] != s[:-1]) | (d[1:] != d[:-1]))
-            fresh[0] = last != (int(s[0]), int(d[0]))
-            last = (int(s[-1]), int(d[-1]))
-            sig, doc = np.concatenate([sig, s[fresh]]), np.concatenate([doc, d[fresh]])
+            sig, doc = (np.concatenate([x, batch.column(k).to_numpy()]) for k, x in enumerate((sig, doc)))
             while len(sig):
-                end = int(np.searchsorted(sig != sig[0], True)) if hot else 0
                 if hot and hot[0] == sig[0]:  # goes on
+                    turn = np.flatnonzero(sig != sig[0])
+                    end = int(turn[0]) if len(turn) else len(sig)
                     if end == len(sig) and end < most:
                         break
                     cut = min(end, most)
@@ -274,27 +277,26 @@ def _grouped(most: int):
                     continue
                 hot = None
                 turns = np.append(np.flatnonzero(sig[1:] != sig[:-1]) + 1, len(sig))
-                sizes = np.diff(np.append(0, turns))
-                large = np.flatnonzero(sizes > most)
-                upto = len(turns) - 1 if not len(large) else int(large[0])  # the last group may go on
+                large = np.flatnonzero(np.diff(np.append(0, turns)) > most)
+                upto = int(large[0]) if len(large) else len(turns) - 1  # the last group may go on
                 at = int(turns[upto - 1]) if upto else 0
                 if at:
                     yield groups(sig[:at], doc[:at])
                     sig, doc = sig[at:], doc[at:]
                 if not len(large):
                     break
-                hot = (int(sig[0]), 0, int(doc[0]))
+                hot = (int(sig[0]), 0, int(doc[:most].min()))
         if len(sig):
             yield piece(hot[0], hot[1], hot[2], doc) if hot and hot[0] == sig[0] else groups(sig, doc)
 
     return run
 
 
-def _groups_of(signed: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """(groups (low, docs), each set of docs once; hot pieces (sig, piece, low, docs)) of rows (sig, doc)."""
-    cut = written(signed.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(_grouped(most), _GROUPS), name)
+def _groups_of(signed: DataFrame, most: int, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups (low, docs), each set of docs once; hot pieces (sig, piece, low, docs); the table of both) of rows (sig, doc)."""
+    cut = written(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_grouped(most), _GROUPS), name)
     groups = cut.filter("not hot").groupBy("k1", "k2").agg(F.first("low").alias("low"), F.first("docs").alias("docs"))
-    return groups.select("low", "docs"), cut.filter("hot").select(F.col("k1").alias("sig"), F.col("k2").alias("piece"), "low", "docs")
+    return groups.select("low", "docs"), cut.filter("hot").select(F.col("k1").alias("sig"), F.col("k2").alias("piece"), "low", "docs"), cut
 
 
 def _near(percent: int):
@@ -401,9 +403,10 @@ def _forest(a: np.ndarray, b: np.ndarray, far: np.ndarray, label: np.ndarray) ->
 
 
 def _blocks(percent: int, rest: bool, most: int = 20_000):
-    """Rows (g, doc, low, size, sketch, comp, now) sorted by (g, size, doc), whole groups at a time -> (g, a, b).
+    """Rows (g, doc, low, size, sketch, comp, now) sorted by (low, g, size, doc), whole groups at a time -> (g, a, b).
+    Groups of one low adjoin, and a pair that several of them give is given once.
 
-    Without ``rest``: a spanning forest of each group's candidate pairs, and (g, null, null) where it has more.
+    Without ``rest``: (null, a, b) of a spanning forest of each group's candidate pairs, and (g, null, null) where it has more.
     With it: these others, as far as the components ``now``, which the forest has led to, are still apart."""
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
@@ -418,9 +421,10 @@ def _blocks(percent: int, rest: bool, most: int = 20_000):
         tree = _forest(a, b, far, label[: used[-1] + 1] if len(used) else label[:0])
         pick = ~tree & (now[a] != now[b]) if rest else tree
         x, y = doc[a[pick]], doc[b[pick]]
+        x, y = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
         more = np.zeros(0, np.int64) if rest else np.unique(g[a[~tree]])
         none = pa.nulls(len(more), pa.int64())
-        columns = [pa.array(np.concatenate([g[a[pick]], more])), *(pa.concat_arrays([pa.array(z), none]) for z in (np.minimum(x, y), np.maximum(x, y)))]
+        columns = [pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(more)]), *(pa.concat_arrays([pa.array(z), none]) for z in (x, y))]
         return pa.RecordBatch.from_arrays(columns, names=["g", "a", "b"])
 
     def run(batches):
@@ -457,7 +461,7 @@ def _of_hot(hot: DataFrame, found: DataFrame, texts: DataFrame, n: int, percent:
     groups = hot.join(outside, "sig").select("low", F.array_distinct(F.concat("docs", "few")).alias("docs"))
     again = rows.join(kinds.filter(F.col("outside") > most), "sig").groupBy("doc").agg(F.collect_set("sig").alias("sigs"))  # a document's own signatures
     signed = texts.join(again.withColumnRenamed("doc", "doc_id"), "doc_id").select("doc_id", "text", "sigs").mapInArrow(_signed_again(n, percent), "sig long, doc long")
-    more, still = _groups_of(signed, most, "again")
+    more, still, _ = _groups_of(signed, most, "again")
     x, y = still.select("sig", "piece", "docs"), still.select("sig", F.col("piece").alias("other"), F.col("docs").alias("docs2"))
     every = x.join(y, "sig").filter("piece <= other").select(F.concat("docs", "docs2").alias("docs"))
     none = F.lit(None).cast("long")
@@ -484,7 +488,7 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     own_sets = sets_of.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).filter("x = y")
     copies = written(same.select("doc_id").distinct().join(own_sets, "doc_id", "left_semi"), "copies")  # their class's least signs for them
     reps = _with_small(known, copies, "doc_id", "left_anti")
-    groups, hot = _groups_of(reps.mapInArrow(_signed(n, percent), "sig long, doc long"), most, "shared")
+    groups, hot, cut = _groups_of(reps.mapInArrow(_signed(n, percent), "sig long, doc long"), most, "shared")
     groups = written(groups.withColumn("g", F.monotonically_increasing_id()), "groups")
     release(spark)  # the signatures' shuffle files
 
@@ -505,10 +509,13 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     dealt = groups.select("g", "low", F.explode("docs").alias("doc"))
     comp = dealt.join(found, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
     apart = comp.groupBy("g").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("g")
-    comp = written(comp.join(apart, "g", "left_semi").withColumn("low", F.coalesce("low", F.lit(-(1 << 62)))), "apart")
+    comp = written(comp.join(apart, "g", "left_semi").withColumn("low", F.coalesce("low", F.col("g") - (1 << 62))), "apart")
 
     def blocks(rows: DataFrame, rest: bool) -> DataFrame:
-        wide = rows.join(info, "doc").repartition("g").sortWithinPartitions("g", "size", "doc")
+        # groups of one low go together, as far as a task's share of rows allows
+        shares = rows.groupBy("low").count().select("low", F.ceil(F.col("count") / SHARE).cast("int").alias("shares"))
+        dealt = _with_small(rows, written(shares.filter("shares > 1"), "shares"), "low", "left").withColumn("share", F.pmod(F.xxhash64("g"), F.coalesce("shares", F.lit(1))))
+        wide = dealt.join(info, "doc").repartition("low", "share").sortWithinPartitions("low", "g", "size", "doc")
         return wide.select("g", "doc", "low", "size", "sketch", "comp", "now").mapInArrow(_blocks(percent, rest), "g long, a long, b long")
 
     first = written(blocks(comp.withColumn("now", F.col("comp")), rest=False), "forest")
@@ -520,7 +527,9 @@ def similar_classes(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
         still = comp.join(more, "g", "left_semi").join(found.withColumnRenamed("comp", "now"), "doc", "left").withColumn("now", F.coalesce("now", "doc"))
         left = _verified(blocks(still, rest=True).select("a", "b").distinct(), known, n, percent)
         if left.limit(1).count():
-            found = joined(links.unionByName(left))
+            found = written(joined(links.unionByName(left)), "found")
+    for table in (cut, groups, comp, first, more, equal, same, copies):  # the result reads base and found
+        drop_written(table)
     return base.join(found, F.col("doc_id") == F.col("doc"), "left").select("doc_id", "n_shingles", F.coalesce("comp", "doc_id").alias("component_id"))
 
 
