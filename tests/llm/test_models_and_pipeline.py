@@ -351,3 +351,25 @@ def test_pipeline_stages(spark, tmp_path):
     assert taken.max() <= 3 and set(mixed.doc_id) <= set(apart.doc_id)
     assert set(packed.doc_id) == set(mixed.doc_id) and len(packed[packed.piece == 0]) == len(mixed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(packed)
+
+
+def test_pipeline_on_empty_tables_and_null_ids(spark, tmp_path):
+    labels = "doc_id long, quality int, toxic int"
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/a/documents.parquet")
+    spark.createDataFrame([], labels).write.parquet(f"{tmp_path}/a/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() == 0
+    rows = [(None, "one two three four five six", "en", "s", 1), (None, "seven eight nine ten eleven", None, None, None), (None, None, "en", "s", 0), (1, "one two three four five six", "en", "s", 1), (2, "", "en", "s", 0), (2, "", "en", "s", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([(None, 1, 1), (1, None, None)], labels).write.parquet(f"{tmp_path}/b/labels.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/b").collect()
+    assert {r["doc_id"] for r in out} <= {None, 1, 2} and all(0 < r["length"] <= 2048 for r in out)
+
+
+def test_scratch_is_cleared(spark):
+    from marlspike.llm import common
+
+    made = common.written(spark.range(5), "some")
+    assert made.count() == 5 and common.shared_dir(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made.inputFiles()[0])
+    common.drop_written(made)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)

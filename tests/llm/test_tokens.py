@@ -153,3 +153,12 @@ def test_attribution(spark, rule):
             share = [max(0, min(b, y) - max(a, x)) for x, y in bounds]
             want[share.index(max(share)) if rule == "majority" else next(i for i, (x, y) in enumerate(bounds) if x <= a < y)] += 1
         assert own.n_tokens.tolist() == want
+
+
+def test_null_and_repeated_ids_are_documents_of_their_own(spark):
+    rows = spark.createDataFrame([(None, "a b", "en", 1, 1, 1, 1.0), (None, "a b", "en", 1, 1, 1, 1.0), (7, "c d e", "en", 1, 1, 1, 1.0), (7, None, "en", 1, 1, 1, 1.0)], SCHEMA)
+    packed = packing.pack(rows, BYTE).collect()
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in packed) == [(0, 3), (0, 3), (7, 1), (7, 4)] and len({(r["sequence_id"], r["offset"]) for r in packed}) == 4
+    counted = attribution.section_tokens(rows, BYTE).collect()
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in counted) == [(0, 2), (0, 2), (7, 0), (7, 3)]
+    assert attribution.section_tokens(frame(spark, []), BYTE).count() == 0
