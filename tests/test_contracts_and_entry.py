@@ -77,3 +77,66 @@ def test_catalog_table_has_statistics(spark):
     catalog = C.derived(spark.createDataFrame([("1", "x", "s")], "external_id string, generic_name string, source string"))
     C.write_catalog(catalog.drop("created_at", "updated_at", "source_updated_at", "codes", "aliases", "combination_components"), "small_catalog")
     assert "1 rows" in spark.sql("DESCRIBE EXTENDED small_catalog").filter("col_name = 'Statistics'").first()["data_type"]
+
+
+def test_a_failing_provider_leaves_the_catalog(spark, tmp_path):
+    from marlspike.operators import catalog as C
+    from marlspike.sources.providers import IngredientSnapshot, NameList, sync
+
+    empty = spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in C.SCHEMA.items()))
+    catalog, n = sync(IngredientSnapshot(f"{tmp_path}/none.json"), empty)
+    assert n == 0 and catalog.count() == 0
+    (tmp_path / "names.txt").write_text("Dolo 650\n\nPan 40\n")
+    catalog, n = sync(NameList(f"{tmp_path}/names.txt"), empty)
+    assert n == 2 and catalog.count() == 2
+    again, n = sync(IngredientSnapshot(f"{tmp_path}/none.json", enabled=False), catalog)
+    assert n == 0 and again.count() == 2
+    (tmp_path / "snapshot.json").write_text('{"minConceptGroup": {"minConcept": [{"rxcui": "1", "name": "folic acid", "tty": "IN"}, {"rxcui": "", "name": "x"}]}}')
+    more, n = sync(IngredientSnapshot(f"{tmp_path}/snapshot.json"), catalog)
+    assert n == 1 and {r["generic_name"] for r in more.collect()} == {"Dolo 650", "Pan 40", "Folic Acid"}
+
+
+def test_files_say_why_they_are_rejected(spark, tmp_path):
+    from marlspike.sources.providers import page_files
+
+    for name, size in (("a.JPG", 10), ("b.txt", 10), ("c.pdf", 100), ("d", 3)):
+        (tmp_path / name).write_bytes(b"x" * size)
+    got = {r["path"].rsplit("/", 1)[1]: r["rejected"] for r in page_files(spark, str(tmp_path), most_bytes=50).select("path", "rejected").collect()}
+    assert got == {"a.JPG": None, "b.txt": "type", "c.pdf": "size", "d": "type"}
+
+
+def test_sections_of_texts_are_those_of_their_lines(spark):
+    from marlspike.operators import layout
+
+    texts = [None, "", "  ", "Name\nage 5", "Name\nRx \nshop now\nDolo 5 mg", "SHOP NOW tab\nx\ntab Dolo", "one\n\nhorlicks", "a 5 mgx\nsyp"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    columns = ["doc_id", "line_no", "text", "section", "also_patient"]
+    want = layout.sections(layout.text_lines(docs)).select(*columns).orderBy("doc_id", "line_no").collect()
+    assert layout.text_sections(docs).select(*columns).orderBy("doc_id", "line_no").collect() == want and len({r["section"] for r in want}) == 3
+
+
+def test_status_counts_and_rows_by_id(spark):
+    from marlspike.operators import catalog as C
+    from marlspike.operators import linkage
+
+    rows = spark.createDataFrame([(1, "EXACT"), (1, "EXACT"), (1, "NO_MATCH"), (2, None)], "doc_id int, status string")
+    assert sorted(map(tuple, linkage.status_counts(rows).collect()), key=str) == [(1, "EXACT", 2), (1, "NO_MATCH", 1), (2, None, 1)]
+    catalog = C.derived(spark.createDataFrame([("x:1", "a", "s")], "external_id string, generic_name string, source string"))
+    key = catalog.first()["id"]
+    found = C.by_ids(spark.createDataFrame([(1, key), (2, "none"), (3, None)], "n int, key string"), catalog, "key").collect()
+    assert [(r["n"], r["external_id"]) for r in found] == [(1, "x:1")] and C.by_id(catalog, key).count() == 1
+
+
+def test_the_library_works_without_the_training_data_part(tmp_path):
+    import os
+    import pathlib
+    import shutil
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parents[1]
+    shutil.copytree(root / "marlspike", tmp_path / "marlspike", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(len(e.queries()), sorted(set(e.oracle_sql()) - set(e.queries())), any(k.startswith('op') for k in e.queries()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    assert said.stdout.split()[1:] == ["[]", "False"] and int(said.stdout.split()[0]) > 25
