@@ -13,9 +13,17 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: What Python workers get besides: memory that they free goes back to the system, whichever of them freed it.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "1048576", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Bytes of a batch that goes to a Python worker, about; executors hold several at a time.
+BATCH_BYTES = "8m"
+
+
 def prepare(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
+    """Lets Python workers import this package from where the driver has it, and keeps their memory low."""
     env = spark.sparkContext.environment
+    for key, value in WORKER_MEMORY.items():
+        env.setdefault(key, value)
     paths = env.get("PYTHONPATH", "").split(":")
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
@@ -45,10 +53,16 @@ def clear(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a table in the shared folder: cuts lineage, and outlives any executor."""
-    spark = df.sparkSession
+    """df as a table in the shared folder: cuts lineage, and outlives any executor. While it is written, batches
+    to Python workers are small."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
     path = scratch(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

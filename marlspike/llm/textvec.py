@@ -175,7 +175,7 @@ class TokenEncoder:
     the library. The kept table is bounded by ``most`` pre-tokens, then started anew.
     """
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -200,7 +200,7 @@ class TokenEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots = np.full(1 << 23, -1, np.int32)  # open addressing, linear probing
+        self.slots = np.full(1 << 22, -1, np.int32)  # open addressing, linear probing
         self.known = np.zeros((2, self.most + 1), np.uint64)
         self.place = np.zeros(self.most + 1, np.int32)
         self.count = np.zeros(self.most + 1, np.int32)
