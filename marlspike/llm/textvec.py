@@ -15,6 +15,9 @@ import numpy as np
 
 #: Characters (or bytes) handled at once; one longer text makes one longer piece.
 PIECE = 1_500_000
+#: The same for tokens: arrays of eight bytes a character stay below the size that WORKER_MEMORY maps anew each time.
+TOKEN_PIECE = 100_000
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (xor-shift-multiply)."""
@@ -211,7 +214,7 @@ class TokenEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts after one another, int32, and each text's number of ids."""
         parts, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
-        for a, b in pieces([len(x) for x in texts]):
+        for a, b in pieces([len(x) for x in texts], TOKEN_PIECE):
             ids, n = self._piece(texts[a:b])
             parts.append(ids)
             counts.append(n)
