@@ -17,6 +17,15 @@ def trigrams(x: Column) -> Column:
     return F.array_distinct(F.flatten(grams))
 
 
+def trigram_codes(x: Column) -> Column:
+    """The trigrams of x as numbers: their three code points of 21 bits each, so no two meet."""
+    def code(g: Column) -> Column:
+        point = lambda i: F.ascii(F.substring(g, i, 1)).cast("long")
+        return F.shiftleft(point(1), 42).bitwiseOR(F.shiftleft(point(2), 21)).bitwiseOR(point(3))
+
+    return F.transform(trigrams(x), code)
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     x, y = trigrams(a), trigrams(b)
     both = F.size(F.array_intersect(x, y))

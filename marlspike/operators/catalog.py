@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, OTHER_PRIORITY, SOURCE_PRIORITY, Settings
 from ..functions import text as T
-from ..functions.similarity import trigrams
+from ..functions.similarity import trigram_codes
+from ..workers import staged
 
 COMPONENTS = "array<struct<strength: double, unit: string, name: string>>"
 SUPPLIED = {
@@ -122,21 +123,63 @@ def find_by_canonical(terms: DataFrame, catalog: DataFrame, term: str = "term")
     return found.withColumn("place", F.row_number().over(Window.partitionBy(term).orderBy("_r"))).drop("_key", "_r")
 
 
-def search(terms: DataFrame, catalog: DataFrame, term: str = "term", limit: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+def _alike(asked: DataFrame, index: DataFrame, least: float) -> DataFrame:
+    """(term, id, external_id, similarity) of all pairs of asked (term, g) and index (id, external_id, h) from least on.
+
+    Sets lie rarest trigram first. Two that are alike enough share one in their beginnings, and no more can follow
+    it than the shorter rest holds; a pair counts at the first trigram that it shares, so it comes up once.
+    """
+    def begun(sets: DataFrame, grams: str, size: str, at: str) -> DataFrame:
+        n = F.size(grams)
+        return sets.select("*", n.alias(size), F.posexplode(F.slice(grams, F.lit(1), n - F.ceil(n * least - 1e-9).cast("int") + 1)).alias(at, "gram"))
+
+    m, n = F.col("m"), F.col("n")
+    needed = (m + n) * (least / (1 + least)) - 1e-9
+    both = F.array_intersect("g", "h")
+    pairs = begun(asked, "g", "m", "i").join(begun(index, "h", "n", "j"), "gram").filter(F.least(m - F.col("i"), n - F.col("j")) >= needed)
+    pairs = pairs.filter(F.size(both) >= needed).filter(F.get(both, F.lit(0)) == F.col("gram"))
+    similarity = F.size(both) / (m + n - F.size(both))
+    return pairs.select("term", "id", "external_id", similarity.alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def search(terms: DataFrame, catalog: DataFrame, term: str = "term", limit: int | None = None, settings: Settings = DEFAULTS, steps: Sequence[float] = (0.5, 0.35), small: int = 10_000) -> DataFrame:
     """(term, id, similarity, place): each distinct term's rows of highest trigram similarity.
 
-    An inverted index join: only pairs that share a trigram meet. |A & B| / |A | B| follows from the
-    number of shared ones and the sizes. Ties go to the smaller external_id.
+    |A & B| / |A | B|, ties to the smaller external_id. A term that has its number of rows from a step's similarity
+    on has all of them, so only the others meet more of the catalog at the next; a catalog of at most ``small`` rows
+    goes straight to the least similarity. The rows are the same either way. Terms and rows without a letter or
+    digit have no trigrams and fit nothing.
     """
     limit = limit or settings.candidate_limit
-    own = catalog.select("id", "external_id", trigrams(F.col("search_text")).alias("g")).select("id", "external_id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    asked = terms.select(T.lookup_key(term).alias("term")).filter("term <> ''").distinct().select("term", trigrams(F.col("term")).alias("g")).select("term", F.size("g").alias("m"), F.explode("g").alias("gram"))
-    least = settings.min_trigram_similarity  # no higher than the smaller set's share of the larger
-    fits = (F.col("n") >= F.col("m") * least) & (F.col("m") >= F.col("n") * least)
-    both = asked.join(own, "gram").filter(fits).groupBy("term", "id", "external_id", "m", "n").agg(F.count("*").alias("c"))
-    near = both.withColumn("similarity", F.col("c") / (F.col("m") + F.col("n") - F.col("c"))).filter(F.col("similarity") >= settings.min_trigram_similarity)
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("similarity"), "external_id"))
-    return near.withColumn("place", place).filter(F.col("place") <= limit).select("term", "id", "similarity", "place")
+    own = catalog.select("id", "external_id", F.explode(trigram_codes(F.col("search_text"))).alias("gram"))
+    held = own.groupBy("gram").agg(F.count("*").alias("held"))
+
+    def rarest_first(grams: DataFrame, name: str, *key: str) -> DataFrame:
+        by = F.struct(F.coalesce("held", F.lit(0)).alias("held"), "gram")
+        return grams.join(held, "gram", "left").groupBy(*key).agg(F.sort_array(F.collect_list(by))["gram"].alias(name))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("similarity"), "external_id"))
+        return pairs.withColumn("place", place).filter(F.col("place") <= limit).select("term", "id", "similarity", "place")
+
+    index = staged(rarest_first(own, "h", "id", "external_id"), "index")
+    asked = terms.select(T.lookup_key(term).alias("term")).filter("term <> ''").distinct()
+    asked = rarest_first(asked.select("term", F.explode(trigram_codes(F.col("term"))).alias("gram")), "g", "term")
+    found = []
+    if index.count() > small:
+        asked = staged(asked, "asked")
+        # few bytes, each of them much work: spread further than by size
+        index = index.repartition(int(catalog.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+        for step in steps:
+            if step > settings.min_trigram_similarity:
+                some = staged(best(_alike(asked, index, step)), "near")
+                full = some.filter(F.col("place") == limit).select("term")
+                found.append(some.join(full, "term", "left_semi"))
+                asked = asked.join(full, "term", "left_anti")
+    rows = best(_alike(asked, index, settings.min_trigram_similarity))
+    for some in found:
+        rows = rows.unionByName(some)
+    return rows
 
 
 def page(catalog: DataFrame, limit: int = 50, offset: int = 0) -> tuple[DataFrame, int]:

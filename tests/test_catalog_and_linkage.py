@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +152,26 @@ def test_golden_documents(spark, full):
     got = [(r["doc_id"], r["name"], r["frequency"], r["duration"]) for r in extraction.extract(lines, full).orderBy("doc_id", "place").collect()]
     dolo, pan = ("Dolo 650", "1-0-1 (M-A-N)", "5 days"), ("Pan 40", "1-0-0 (M-A-N)", "7 days")
     assert got == [(0, *dolo), (0, *pan), (1, *dolo), (2, *dolo), (2, *pan), (5, "Dolo 650", "N/A", "N/A")]
+
+
+def test_search_in_steps_finds_what_brute_force_finds(spark):
+    rng = random.Random(3)
+    parts = ["amo", "xi", "cil", "lin", "para", "mol", "𝒜x", "é", "5"]
+    names = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 6))) + rng.choice(["", " tablet", " Tablet forte"]) for _ in range(300)] + ["-", None]
+    catalog = spark.createDataFrame([(str(k), f"x{k:03}", n) for k, n in enumerate(names)], "id string, external_id string, search_text string")
+    asked = [*dict.fromkeys(n.lower() for n in names[:40]), "amo tablt", "zzz", "++", ""]
+    terms = spark.createDataFrame([(t,) for t in asked * 2], "term string")
+
+    def grams(x):
+        return {f"  {w} "[i : i + 3] for w in re.findall(r"[^\W_]+", (x or "").lower()) for i in range(len(w) + 1)}
+
+    expected = set()
+    for t in asked:
+        alike = [(-len(grams(t) & grams(n)) / len(grams(t) | grams(n)), f"x{k:03}", str(k)) for k, n in enumerate(names) if grams(t) & grams(n)]
+        near = sorted(s for s in alike if -s[0] >= 0.2)[:8]
+        expected |= {(t, key, round(-s, 9), place) for place, (s, _, key) in enumerate(near, 1)}
+    for small in (0, 10_000):
+        got = C.search(terms, catalog, small=small).collect()
+        assert {(r["term"], r["id"], round(r["similarity"], 9), r["place"]) for r in got} == expected and len(got) == len(expected)
+    assert any(s < 0.35 for _, _, s, _ in expected) and any(p == 8 and s >= 0.5 for _, _, s, p in expected)
+    assert C.search(terms, catalog.limit(0)).count() == C.search(terms.limit(0), catalog, small=0).count() == 0
