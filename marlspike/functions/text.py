@@ -99,6 +99,15 @@ def strength(x: Column | str) -> Column:
     return F.struct(components.cast(f"array<{_COMPONENT}>").alias("components"), F.when(per, _number(t, PER_VOLUME, 3)).alias("per_value"), F.when(per, _unit(t, PER_VOLUME, 4)).alias("per_unit")).cast(_STRENGTH)
 
 
+def strength_json(s: Column) -> Column:
+    """A strength() as JSON: several components as a list, one as strength and unit, with per_value and per_unit
+    where it has them; {} for none, null for null."""
+    parts = F.transform(s["components"], lambda c: F.struct(c["value"].cast("double").alias("strength"), c["unit"].alias("unit")))
+    one = F.get(parts, F.lit(0))
+    single = F.struct(one["strength"].alias("strength"), one["unit"].alias("unit"), s["per_value"].cast("double").alias("per_value"), F.when(s["per_value"].isNotNull(), s["per_unit"]).alias("per_unit"))
+    return F.when(F.size(parts) > 1, F.to_json(F.struct(parts.alias("components")))).when(F.size(parts) == 1, F.to_json(single)).when(s.isNotNull(), "{}")
+
+
 def strip_strength(x: Column | str) -> Column:
     """Without numbers that have a unit; bare numbers stay."""
     return squeezed(F.regexp_replace(F.regexp_replace(_col(x), PER_VOLUME, " "), SINGLE, " "))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -71,3 +73,13 @@ def resolve_answers(resolved: DataFrame, catalog: DataFrame) -> DataFrame:
     one = F.when(F.size("parsed_strength.components") == 1, F.get("parsed_strength.components", F.lit(0)))
     x = resolved.join(med, "matched_id", "left")
     return x.withColumns({"strength_unit": F.when(F.col("strength_value").isNull(), one["unit"]).otherwise(F.col("strength_unit")), "strength_value": F.coalesce(F.col("strength_value").cast("double"), one["value"].cast("double"))})
+
+
+def health(spark: SparkSession, catalog: str, recognizer: bool = False) -> dict[str, str | bool]:
+    """The service's health: ok if the catalog's table answers, else degraded; recognizer: whether one is set up."""
+    try:
+        spark.table(catalog).select(F.lit(1)).limit(1).collect()
+        connected = True
+    except (PySparkException, Py4JError):
+        connected = False
+    return {"status": "ok" if connected else "degraded", "vision_api_configured": recognizer, "database_connected": connected}

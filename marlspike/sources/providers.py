@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..operators.catalog import COMPONENTS, upsert
 from ..workers import staged
 from .brands import BRANDS
+from .concepts import register
 
 # The types of files that are taken.
 CONTENT_TYPES = ("image/jpeg", "image/png", "image/webp", "image/bmp", "image/tiff", "application/pdf")
@@ -106,6 +107,22 @@ class IngredientSnapshot:
         return ingredients_from(spark.read.schema(schema).json(self.path, multiLine=True).select(F.explode("minConceptGroup.minConcept").alias("c")).select("c.*"))
 
 
+class IngredientService:
+    """A terminology's service that answers with all its ingredient concepts; fetched when the records are read."""
+
+    source, supplied = IngredientSnapshot.source, IngredientSnapshot.supplied
+
+    def __init__(self, base_url: str, timeout: float = 20.0):
+        self.base_url, self.timeout = base_url, timeout
+
+    def is_configured(self) -> bool:
+        return bool(self.base_url)
+
+    def records(self, spark: SparkSession) -> DataFrame:
+        register(spark)
+        return ingredients_from(spark.read.format("concepts").option("urls", f"{self.base_url.rstrip('/')}/allconcepts.json?tty=IN").option("timeout", str(self.timeout)).load())
+
+
 class LicensedDataset:
     """A dataset under a licence that isn't there yet."""
 
